@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="inkwell-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+
+
+@lru_cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="inkwell-")
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -38,9 +42,6 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string column, back to back, and each row's start (with the end of the last); null is empty."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.cast(pc.fill_null(column, ""), pa.large_binary())
