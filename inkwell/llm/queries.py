@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import langid, mixing, quality
+from inkwell.llm import embed_dedup, langid, mixing, quality, simhash
 from inkwell.llm.common import table
 
 
@@ -13,6 +13,16 @@ def _remainder(doc_id: str, by: int):
     return F.crc32(F.col(doc_id).cast("string")) % by
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, linked at a cosine of 0.9."""
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 4-word shingles of all documents, linked at 4 differing bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, bits=4).select("doc_id", "fingerprint", "component_id")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed to weights 5, 2, 1 by source, 3 epochs at most."""
     return mixing.mix(table(spark, sf_dir, "documents"), (5, 2, 1), 3)
@@ -57,5 +67,5 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op7_mix_sources, op8_quality, op9_language)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op5_simhash, op7_mix_sources, op8_quality, op9_language)}
 SQL = {"op7_mix_sources": OP7_SQL}
