@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import embed_dedup, langid, mixing, quality, simhash
+from inkwell.llm import embed_dedup, langid, mixing, quality, secret_scan, simhash, token_counts
 from inkwell.llm.common import table
 
 
@@ -18,6 +18,16 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
 
 
+#: A byte-level BPE vocabulary as ranks, read on the driver.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as flat token files; the tokens of each, found by separators alone."""
+    blocks, order = token_counts.flat_files(table(spark, sf_dir, "documents"), token_counts.read_ranks(TOKENIZER), end=50256)
+    return order.join(token_counts.count(blocks, 50256), ["file", "ordinal"]).select("doc_id", "n_tokens")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 4-word shingles of all documents, linked at 4 differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, bits=4).select("doc_id", "fingerprint", "component_id")
@@ -67,5 +77,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op5_simhash, op7_mix_sources, op8_quality, op9_language)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents; sources are owners."""
+    return secret_scan.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_token_counts, op5_simhash, op7_mix_sources, op8_quality, op9_language, op10_secrets)}
 SQL = {"op7_mix_sources": OP7_SQL}
