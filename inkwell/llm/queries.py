@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import embed_dedup, langid, mixing, quality, secret_scan, simhash, token_counts
+from inkwell.llm import embed_dedup, langid, line_templates, mixing, quality, secret_scan, simhash, token_counts
 from inkwell.llm.common import table
 
 
@@ -33,6 +33,30 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, bits=4).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines whose templates recur in 5 documents or more."""
+    got = line_templates.line_dedup(table(spark, sf_dir, "documents"), least_docs=5, least_tokens=3)
+    return got.select("doc_id", F.col("lines_before").cast("long").alias("n_lines"), F.col("lines_dropped").cast("long").alias("n_dropped"), F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
+OP6_SQL = r"""
+WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+m AS (SELECT doc_id, text, i, list_filter(string_split(regexp_replace(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' '), lambda x: x <> '') AS t FROM l),
+n AS (SELECT *, len(t) AS n, len(t) - 2 AS r FROM m WHERE len(t) >= 3),
+k AS (
+  SELECT doc_id, text, i, n || '/' || j || '/' || array_to_string(t[1:2], ' ') || '/' ||
+         array_to_string(list_transform(range(4), lambda p: CASE WHEN p = j THEN '' ELSE array_to_string(t[3 + r * p // 4 : 2 + r * (p + 1) // 4], ' ') END), '/') AS key
+  FROM (SELECT *, unnest(range(4)) AS j FROM n WHERE r >= 4)
+  UNION ALL SELECT doc_id, text, i, n || '/-1/' || array_to_string(t, ' ') FROM n WHERE r < 4),
+f AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+g AS (SELECT DISTINCT k.doc_id, i FROM k JOIN f USING (key) WHERE k.doc_id <> first),
+p AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS kept
+      FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, CAST(length(kept) AS BIGINT) AS kept_chars, md5(kept) AS kept_md5
+FROM documents d LEFT JOIN p USING (doc_id)
+"""
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed to weights 5, 2, 1 by source, 3 epochs at most."""
     return mixing.mix(table(spark, sf_dir, "documents"), (5, 2, 1), 3)
@@ -82,5 +106,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents")).drop("found")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_token_counts, op5_simhash, op7_mix_sources, op8_quality, op9_language, op10_secrets)}
-SQL = {"op7_mix_sources": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_token_counts, op5_simhash, op6_line_dedup, op7_mix_sources, op8_quality, op9_language, op10_secrets)}
+SQL = {"op6_line_dedup": OP6_SQL, "op7_mix_sources": OP7_SQL}
