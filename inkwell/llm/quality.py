@@ -76,11 +76,15 @@ def _listed(batches):
             yield pa.RecordBatch.from_pydict({"label": [x], "ids": [_features(data[starts[i] : starts[i + 1]]).astype(np.int32)]}, pa.schema([("label", pa.int32()), ("ids", pa.list_(pa.int32()))]))
 
 
-def fit(labelled: DataFrame, sample: int = 4000, penalty: float = 1.0, epochs: int = 12, smooth: float = 1.0, seed: int = 11) -> QualityModel:
-    """labelled: text, label (0 or 1). Learns from a bounded sample, `sample` rows of each label at most, by hash of the text."""
-    order = F.xxhash64("text")
-    parts = [labelled.where(F.col("label") == x).orderBy(order, "text").limit(sample) for x in (0, 1)]
-    rows = parts[0].union(parts[1]).select("text", F.col("label").cast("int").alias("label")).mapInArrow(_listed, "label int, ids array<int>").toArrow().to_pandas()
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 2500, penalty: float = 1.0, epochs: int = 12, smooth: float = 1.0, seed: int = 11) -> QualityModel:
+    """docs: doc_id, text; labels: doc_id, label (0 or 1), an id once at most.
+
+    Learns from a bounded sample, `sample` ids of each label at most, by hash of the id. Those ids are broadcast to the
+    scan of the documents: their number is the bound, and texts needn't be shuffled.
+    """
+    parts = [labels.where(F.col("label") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for x in (0, 1)]
+    few = parts[0].union(parts[1]).select("doc_id", F.col("label").cast("int").alias("label"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "label").mapInArrow(_listed, "label int, ids array<int>").toArrow().to_pandas()
     rows = rows.iloc[sorted(range(len(rows)), key=lambda i: (rows.label[i], len(rows.ids[i]), rows.ids[i].tobytes()))].reset_index(drop=True)
     y = np.where(rows.label == 1, 1.0, -1.0) if len(rows) else np.zeros(0)
     size = 1 << BITS

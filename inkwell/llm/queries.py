@@ -88,7 +88,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document; labels of a fifth of ids are held out."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where("doc_id IS NOT NULL AND quality IN (0, 1)").where(_remainder("doc_id", 5) != 0).groupBy("doc_id").agg(F.min("quality").alias("label"))
-    model = quality.fit(docs.select("doc_id", "text").join(labels, "doc_id").select("text", "label"))
+    model = quality.fit(docs, labels)
     out = docs.select("doc_id", F.coalesce(_remainder("doc_id", 5) == 0, F.lit(True)).alias("held_out"), quality.scored(model, F.col("text")).alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
