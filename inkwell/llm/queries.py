@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import embed_dedup, langid, line_templates, mixing, quality, secret_scan, simhash, token_counts
+from inkwell.llm import decontaminate, embed_dedup, langid, line_templates, mixing, quality, secret_scan, simhash, token_counts
 from inkwell.llm.common import table
 
 
@@ -28,6 +28,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.join(token_counts.count(blocks, 50256), ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark in all documents, edited copies too: a row for each document and item."""
+    docs = table(spark, sf_dir, "documents")
+    blocks = decontaminate.fit(docs, table(spark, sf_dir, "benchmark"))
+    got = docs.select("doc_id", F.explode(decontaminate.found(blocks, F.col("text"))).alias("m"))
+    return got.select("doc_id", "m.item_id", "m.score", "m.start", "m.end")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 4-word shingles of all documents, linked at 4 differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, bits=4).select("doc_id", "fingerprint", "component_id")
@@ -106,5 +114,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents")).drop("found")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_token_counts, op5_simhash, op6_line_dedup, op7_mix_sources, op8_quality, op9_language, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_token_counts, op4_decontaminate, op5_simhash, op6_line_dedup, op7_mix_sources, op8_quality, op9_language, op10_secrets)}
 SQL = {"op6_line_dedup": OP6_SQL, "op7_mix_sources": OP7_SQL}
