@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import decontaminate, embed_dedup, langid, line_templates, mixing, quality, secret_scan, simhash, token_counts
+from inkwell.llm import decontaminate, embed_dedup, langid, line_templates, mixing, quality, secret_scan, simhash, suffix_dedup, token_counts
 from inkwell.llm.common import table
 
 
@@ -18,6 +18,11 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def op2_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 200-byte strings that also start elsewhere."""
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), 200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 #: A byte-level BPE vocabulary as ranks, read on the driver.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -114,5 +119,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents")).drop("found")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_token_counts, op4_decontaminate, op5_simhash, op6_line_dedup, op7_mix_sources, op8_quality, op9_language, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_repeated_bytes, op3_token_counts, op4_decontaminate, op5_simhash, op6_line_dedup, op7_mix_sources, op8_quality, op9_language, op10_secrets)}
 SQL = {"op6_line_dedup": OP6_SQL, "op7_mix_sources": OP7_SQL}
