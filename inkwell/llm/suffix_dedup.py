@@ -36,16 +36,29 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _POSITION = np.uint64((1 << 36) - 1)
 
 
+class Powers:
+    """Powers of the base and of its inverse, as long as asked for, and the values of bytes."""
+
+    def __init__(self):
+        self.values = np.random.default_rng(40).integers(0, 2**64, 256, np.uint64, endpoint=False)
+        self.up = self.down = np.empty(0, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) <= n:
+            with np.errstate(over="ignore"):
+                self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(n, np.uint64(b))], dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 2**64)))
+        return self.up[:n], self.down[: n + 1]
+
+
 class Prefixes:
     """Prefix polynomial hashes of bytes, modulo 2**64: the hash of any range by two lookups."""
 
-    def __init__(self, data: np.ndarray):
-        values = np.random.default_rng(40).integers(0, 2**64, 256, np.uint64, endpoint=False)
-        n = len(data)
+    def __init__(self, data: np.ndarray, powers: Powers | None = None):
+        powers = powers or Powers()
+        up, self.inverse = powers.to(len(data))
+        self.sums = np.zeros(len(data) + 1, np.uint64)
         with np.errstate(over="ignore"):
-            power = np.cumprod(np.r_[np.uint64(1), np.full(n, np.uint64(_BASE))], dtype=np.uint64)
-            self.inverse = np.cumprod(np.r_[np.uint64(1), np.full(n, np.uint64(pow(_BASE, -1, 2**64)))], dtype=np.uint64)
-            self.sums = np.r_[np.uint64(0), np.cumsum(values[data] * power[:n], dtype=np.uint64)]
+            np.cumsum(powers.values[data] * up, out=self.sums[1:])
 
     def of(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -118,16 +131,23 @@ def _merged(windows: np.ndarray, span: int) -> list[tuple[int, int]]:
     return [(int(windows[i]), int(windows[j - 1]) + span) for i, j in zip(new[:-1], new[1:])]
 
 
-def anchors(prefixes: Prefixes, n: int, starts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of documents back to back: anchors, and the first and last window that each has."""
+def anchors(data: np.ndarray, starts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents back to back: anchors, and the first and last window that each has.
+
+    A window's anchor is the first of the positions in it whose k-gram has the least value, a hash of its first 8 bytes.
+    """
+    n = len(data)
     width, grams = span - KGRAM + 1, n - KGRAM + 1
     count = n - span + 1
     if count <= 0:
         return (np.empty(0, np.int64),) * 3
-    at = np.arange(grams, dtype=np.uint64)
-    i = np.arange(grams)
-    value = (prefixes.of(i, i + KGRAM) & ~_POSITION) | at
-    table = np.r_[value, np.full(-grams % width, 2**64 - 1, np.uint64)].reshape(-1, width)
+    eight = np.ndarray((grams,), "<u8", np.ascontiguousarray(data), 0, (1,))
+    table = np.full(-(-grams // width) * width, 2**64 - 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.multiply(eight, np.uint64(_BASE), out=table[:grams])
+    table[:grams] &= ~_POSITION
+    table[:grams] |= np.arange(grams, dtype=np.uint64)
+    table = table.reshape(-1, width)
     ahead = np.minimum.accumulate(table, axis=1).ravel()
     behind = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
     least = (np.minimum(behind[:count], ahead[width - 1 : width - 1 + count]) & _POSITION).astype(np.int64)
@@ -155,74 +175,98 @@ def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
 
 
-def _nodes(data: np.ndarray, starts: np.ndarray, span: int, level: int, bitmaps: list[np.ndarray]):
-    """core, union start and end, seed of the union's hash, first and last window of a level's nodes that bitmaps let through."""
-    prefixes, n = Prefixes(data), len(data)
-    a, first, last = anchors(prefixes, n, starts, span)
+def _nodes(data: np.ndarray, starts: np.ndarray, marks: np.ndarray, span: int, level: int, wanted: list[tuple[np.ndarray, np.ndarray]], powers: Powers):
+    """Core, key, first and last window, document and seed of the union's hash of a level's nodes.
+
+    wanted: for the levels above, bitmaps of the cores and the keys to go into; before level 0, of cores alone. A key
+    tells a node from those with the same core and union.
+    """
+
+    def keyed(core, first, doc):
+        with np.errstate(over="ignore"):
+            k = core + marks[doc] * np.uint64(0xD6E8FEB86659FD93) + (first - starts[doc]).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+            k ^= k >> np.uint64(32)
+            return k * np.uint64(0xE7037ED1A0B428DB)
+
+    a, first, last = anchors(data, starts, span)
+    prefixes = Prefixes(data, powers)
     core = prefixes.of(a, a + KGRAM)
-    if bitmaps:
-        keep = _held(bitmaps[0], core)
+    if wanted:
+        keep = _held(wanted[0][0], core)
         a, first, last, core = a[keep], first[keep], last[keep], core[keep]
-    if level == 0:
-        return core, first, last, (a - first) * 4096 + (a - last)
+    doc = np.searchsorted(starts, first, "right") - 1
+    key = keyed(core, first, doc)
+    if level <= 0:
+        return core, key, first, last, doc, (a - first) * 4096 + (a - last)
+    keep = _held(wanted[1][0], core)
+    keep[keep] = _held(wanted[1][1], key[keep])
+    a, first, last, doc = a[keep], first[keep], last[keep], doc[keep]
     row, block = _spread((a - last) // STEP, (a - first) // STEP)
-    a, near, far = a[row], np.maximum(block * STEP, (a - last)[row]), np.minimum(block * STEP + STEP - 1, (a - first)[row])
+    a, doc, near, far = a[row], doc[row], np.maximum(block * STEP, (a - last)[row]), np.minimum(block * STEP + STEP - 1, (a - first)[row])
     first, last = a - far, a - near
     core = prefixes.of(a - block * STEP, a - block * STEP - STEP + 1 + span)
-    if level > 1:
-        keep = _held(bitmaps[1], core)
-        _, first = _spread(first[keep], last[keep])
-        return prefixes.of(first, first + span), first, first, np.zeros(len(first), np.int64)
-    return core, first, last, far * 4096 + near
+    key = keyed(core, first, doc)
+    if level == 1:
+        return core, key, first, last, doc, far * 4096 + near
+    keep = _held(wanted[2][0], core)
+    keep[keep] = _held(wanted[2][1], key[keep])
+    row, first = _spread(first[keep], last[keep])
+    doc = doc[keep][row]
+    core = prefixes.of(first, first + span)
+    return core, keyed(core, first, doc), first, first, doc, np.zeros(len(first), np.int64)
+
 
+def _emitted(span: int, level: int, shared: list):
+    """Nodes of a level; before level 0 (-1) the cores of all anchors alone."""
 
-def _emitted(span: int, level: int, shared: list, union: bool):
     def emitted(batches):
-        bitmaps = [b.value for b in shared]
-        digest = xxhash.xxh3_64_intdigest
+        wanted = [tuple(b and b.value for b in pair) for pair in shared]
+        digest, powers = xxhash.xxh3_64_intdigest, Powers()
         for b in batches:
             data, starts = utf8(b.column(b.schema.get_field_index("text")))
-            for i, j in slices(starts, 1 << 19):
+            ids, mark = b.column(b.schema.get_field_index("id")), b.column(b.schema.get_field_index("mark"))
+            marks = mark.to_numpy(zero_copy_only=False).view(np.uint64)
+            for i, j in slices(starts, 1 << 17):
                 own = starts[i : j + 1] - starts[i]
                 part = data[starts[i] : starts[j]]
-                core, first, last, seed = _nodes(part, own, span, level, bitmaps)
+                core, key, first, last, doc, seed = _nodes(part, own, marks[i:j], span, level, wanted, powers)
                 if not len(core):
                     continue
-                if not union:
+                if level < 0:
                     yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64))], ["core"])
                     continue
                 raw = part.tobytes()
-                hashed = np.fromiter([digest(raw[x:y], s) for x, y, s in zip(first.tolist(), (last + span).tolist(), seed.tolist())], np.uint64, len(core))
-                doc = np.searchsorted(own, first, "right") - 1
+                whole = np.fromiter([digest(raw[x:y], s) for x, y, s in zip(first.tolist(), (last + span).tolist(), seed.tolist())], np.uint64, len(core))
                 take = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(hashed.view(np.int64)), b.column(b.schema.get_field_index("id")).take(take), b.column(b.schema.get_field_index("mark")).take(take), pa.array(first - own[doc]), pa.array(last - own[doc])], ["core", "whole", "id", "mark", "first", "last"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (core, whole, key)), ids.take(take), mark.take(take), pa.array(first - own[doc]), pa.array(last - own[doc])], ["core", "whole", "key", "id", "mark", "first", "last"])
 
     return emitted
 
 
-def _bitmap(cores: DataFrame):
-    """The cores of a table as a broadcast bitmap of 2**BITMAP_BITS bits."""
-    bit = F.shiftrightunsigned(F.col("core"), 64 - BITMAP_BITS)
-    words = cores.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(core, {64 - BITMAP_BITS}) & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+def _bitmap(hashes: DataFrame):
+    """A column h of hashes as a broadcast bitmap of 2**BITMAP_BITS bits."""
+    low = 64 - BITMAP_BITS
+    words = hashes.select(F.shiftrightunsigned("h", low + 6).alias("w"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {low}) & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     bitmap = np.zeros(1 << BITMAP_BITS - 6, np.uint64)
     bitmap[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
-    return cores.sparkSession.sparkContext.broadcast(bitmap)
+    return hashes.sparkSession.sparkContext.broadcast(bitmap)
 
 
 def repeated_windows(docs: DataFrame, span: int = 200) -> DataFrame:
     """docs: id, mark, text. Rows (id, mark, first, last): ranges of starts of windows that also start elsewhere."""
     kind = dict(docs.dtypes)["id"]
     text = docs.select("id", "mark", "text")
-    counts = text.mapInArrow(_emitted(span, 0, [], False), "core long").groupBy("core").agg(F.count("*").alias("n"))
-    shared, found = [_bitmap(counts.where("n > 1").select("core"))], []
+    counts = text.mapInArrow(_emitted(span, -1, []), "core long").groupBy("core").agg(F.count("*").alias("n"))
+    wanted, found = [(_bitmap(counts.where("n > 1").select(F.col("core").alias("h"))), None)], []
     for level in range(3):
-        nodes = materialize(text.mapInArrow(_emitted(span, level, shared, True), f"core long, whole long, id {kind}, mark long, first long, last long"))
-        met = nodes.groupBy("core", "whole").agg(F.count("*").alias("n"))
-        found.append(nodes.join(met.where("n > 1"), ["core", "whole"]).select("id", "mark", "first", "last"))
+        nodes = materialize(text.mapInArrow(_emitted(span, level, wanted), f"core long, whole long, key long, id {kind}, mark long, first long, last long"))
+        met = nodes.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min("key").alias("key"))
         if level < 2:
-            several = nodes.groupBy("core").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b")
-            bitmap = _bitmap(several.select("core"))
-            shared = [bitmap] if level == 0 else [shared[0], bitmap]
+            met = materialize(met)
+            # Of a core with several unions, one node of each union goes down a level.
+            several = met.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+            wanted = wanted + [(_bitmap(several.select(F.col("core").alias("h"))), _bitmap(met.join(several, "core", "left_semi").select(F.col("key").alias("h"))))]
+        found.append(nodes.join(met.where("n > 1").select("core", "whole"), ["core", "whole"]).select("id", "mark", "first", "last"))
     return found[0].union(found[1]).union(found[2])
 
 
@@ -253,7 +297,7 @@ def _cut(span: int):
 def dedup(docs: DataFrame, span: int = 200, doc_id: str = "doc_id", text: str = "text", with_kept: bool = True) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, ranges) of all documents; kept are the remaining bytes
     (a cut may fall inside a character), ranges the removed [start, end) in bytes."""
-    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("mark"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("mark"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = repeated_windows(rows, span).groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     spans = materialize(spans).withColumnsRenamed({"id": "i", "mark": "m"})
     joined = rows.join(spans, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left").select("id", "text", "spans")
