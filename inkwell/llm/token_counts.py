@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import materialize, utf8
+from inkwell.llm.common import materialize, slices, utf8
 
 #: The pattern that cuts text before byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -33,26 +33,27 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _packed(ranks, end: int, block_tokens: int):
-    """Tokenizes a partition's documents to one flat file of uint32 ids, in blocks."""
+def _packed(ranks, end: int, block_tokens: int, dtype: str):
+    """Tokenizes a partition's documents to one flat file of ids, in blocks."""
 
     def packed(batches):
         import tiktoken
         from pyspark import TaskContext
 
         tokenizer = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
-        file, block, rest = TaskContext.get().partitionId(), 0, np.empty(0, np.uint32)
+        file, block, rest = TaskContext.get().partitionId(), 0, np.empty(0, dtype)
         ordinal = 0
         for b in batches:
             data, starts = utf8(b.column(b.schema.get_field_index("text")))
             ids = b.column(b.schema.get_field_index("doc_id"))
-            parts = [rest]
-            for i, j in zip(starts[:-1], starts[1:]):
-                parts.append(np.array([*tokenizer.encode_ordinary(data[i:j].tobytes().decode()), end], np.uint32))
-            rest = np.concatenate(parts)
-            whole = len(rest) // block_tokens
-            yield pa.RecordBatch.from_pydict({"file": [file] * (whole + b.num_rows), "block": [*range(block, block + whole), *[None] * b.num_rows], "tokens": [rest[k * block_tokens : (k + 1) * block_tokens].tobytes() for k in range(whole)] + [None] * b.num_rows, "ordinal": [None] * whole + [*range(ordinal, ordinal + b.num_rows)], "doc_id": [None] * whole + ids.to_pylist()}, _PACKED)
-            block, ordinal, rest = block + whole, ordinal + b.num_rows, rest[whole * block_tokens :]
+            for at, to in slices(starts):  # a slice's tokens are sent on before the next slice's are made
+                parts = [rest]
+                for i, j in zip(starts[at:to], starts[at + 1 : to + 1]):
+                    parts.append(np.array([*tokenizer.encode_ordinary(data[i:j].tobytes().decode()), end], dtype))
+                rest = np.concatenate(parts)
+                whole, n = len(rest) // block_tokens, to - at
+                yield pa.RecordBatch.from_pydict({"file": [file] * (whole + n), "block": [*range(block, block + whole), *[None] * n], "tokens": [rest[k * block_tokens : (k + 1) * block_tokens].tobytes() for k in range(whole)] + [None] * n, "ordinal": [None] * whole + [*range(ordinal, ordinal + n)], "doc_id": [None] * whole + ids[at:to].to_pylist()}, _PACKED)
+                block, ordinal, rest = block + whole, ordinal + n, rest[whole * block_tokens :].copy()
         if len(rest):
             yield pa.RecordBatch.from_pydict({"file": [file], "block": [block], "tokens": [rest.tobytes()], "ordinal": [None], "doc_id": [None]}, _PACKED)
 
@@ -62,11 +63,11 @@ def _packed(ranks, end: int, block_tokens: int):
 _PACKED = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("tokens", pa.binary()), ("ordinal", pa.int64()), ("doc_id", pa.int64())])
 
 
-def flat_files(docs: DataFrame, ranks: dict[bytes, int], end: int = 50256, block_tokens: int = 1 << 18, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def flat_files(docs: DataFrame, ranks: dict[bytes, int], end: int = 50256, block_tokens: int = 1 << 18, dtype: str = "<u2", doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Tokenizes documents to flat files, one of each partition. Returns blocks (file, block, tokens) and the order in
     which documents were written (file, ordinal, doc_id), which the files themselves don't tell."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a tokenizer's vocabulary, of fixed size
-    both = materialize(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_packed(shared, end, block_tokens), "file long, block long, tokens binary, ordinal long, doc_id long"))
+    both = materialize(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_packed(shared, end, block_tokens, dtype), "file long, block long, tokens binary, ordinal long, doc_id long"))
     return both.where("block IS NOT NULL").select("file", "block", "tokens"), both.where("ordinal IS NOT NULL").select("file", "ordinal", "doc_id")
 
 
@@ -102,7 +103,7 @@ def _bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return held[starts[0] : starts[-1]], starts - starts[0]
 
 
-def count(blocks: DataFrame, end: int = 50256, dtype: str = "<u4") -> DataFrame:
+def count(blocks: DataFrame, end: int = 50256, dtype: str = "<u2") -> DataFrame:
     """Rows (file, ordinal, n_tokens): the documents of flat files, in order, without their separators."""
     found = materialize(blocks.select("file", "block", "tokens").mapInArrow(_searched(end, dtype), "file long, block long, n long, at array<long>").withColumn("chunk", F.floor(F.col("block") / CHUNK)))
     # Prefix scan: tokens and separators before each block, and where the last separator before it stands.
