@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import materialize, slices, utf8
+from inkwell.llm.common import discard, materialize, slices, utf8
 
 KGRAM, STEP = 40, 8
 BITMAP_BITS = 27
@@ -266,7 +266,8 @@ def repeated_windows(docs: DataFrame, span: int = 200) -> DataFrame:
             # Of a core with several unions, one node of each union goes down a level.
             several = met.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
             wanted = wanted + [(_bitmap(several.select(F.col("core").alias("h"))), _bitmap(met.join(several, "core", "left_semi").select(F.col("key").alias("h"))))]
-        found.append(nodes.join(met.where("n > 1").select("core", "whole"), ["core", "whole"]).select("id", "mark", "first", "last"))
+        found.append(materialize(nodes.join(met.where("n > 1").select("core", "whole"), ["core", "whole"]).select("id", "mark", "first", "last")))
+        discard(nodes, *[met] * (level < 2))
     return found[0].union(found[1]).union(found[2])
 
 
