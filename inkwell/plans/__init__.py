@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("measure",)
+MODULES = ("measure", "reference")
 
 
 def gathered() -> tuple[dict, dict]:
