@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("measure", "reference")
+MODULES = ("measure", "corpus", "reference")
 
 
 def gathered() -> tuple[dict, dict]:
