@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir): docs are all that the stage before kept, with the columns of documents, and the
 benchmark is read from sf_dir. All but the last stage return the columns of documents. Nulls: null texts and texts
 without a letter are rejected by the first stage; null sources are one source of the mix; null ids are documents of
-their own but for near-dedup, where a group keeps its smallest id and null comes last.
+their own but for near-dedup, where a group keeps its smallest id and null comes last. Other columns go along unchanged
+up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring template lines; n_chars follows. Documents that lose all their lines go."""
-    kept = line_templates.line_dedup(docs)
-    return kept.where((F.col("lines_dropped") == 0) | (F.trim("text") != "")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    kept = line_templates.line_dedup(docs, counts=("__lines", "__gone"))
+    return kept.where((F.col("__gone") == 0) | (F.trim("text") != "")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id, or one of those without an id."""
-    own = materialize(docs.withColumns({"fp": simhash.fingerprints(F.col("text")), "__row": F.monotonically_increasing_id()}))
-    named = simhash.linked(own.select("doc_id", "__row", "fp").withColumn("doc_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")))
+    own = materialize(docs.withColumns({"__fp": simhash.fingerprints(F.col("text")), "__row": F.monotonically_increasing_id()}))
+    named = simhash.linked(own.select("doc_id", "__row", F.col("__fp").alias("fp")).withColumn("doc_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")))
     keep = named.where("doc_id = component_id").select("doc_id.__row")
     return own.join(keep, "__row", "left_semi").select(*docs.columns)
 

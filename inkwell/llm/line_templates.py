@@ -49,13 +49,13 @@ def dropped_lines(docs: DataFrame, doc_id: str, text: str, least_docs: int, leas
     return later.groupBy("id", "mark").agg(F.array_sort(F.collect_set("i")).alias("dropped"))
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_docs: int = 5, least_tokens: int = 3) -> DataFrame:
-    """The documents, with recurring lines gone from text, and lines_before and lines_dropped added."""
-    drops = materialize(dropped_lines(docs, doc_id, text, least_docs, least_tokens)).withColumnsRenamed({"id": "__id", "mark": "__mark"})
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_docs: int = 5, least_tokens: int = 3, counts: tuple[str, str] = ("lines_before", "lines_dropped")) -> DataFrame:
+    """The documents, with recurring lines gone from text, and the columns of `counts` added; columns of these names give way."""
+    drops = materialize(dropped_lines(docs, doc_id, text, least_docs, least_tokens)).withColumnsRenamed({"id": "__id", "mark": "__mark", "dropped": "__dropped"})
     found = docs.join(drops, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")), "left")
-    lines, gone = _lines(F.col(text)), F.coalesce("dropped", F.array().cast("array<int>"))
+    lines, gone = _lines(F.col(text)), F.coalesce("__dropped", F.array().cast("array<int>"))
     # Runs of kept lines between dropped ones.
     runs = F.zip_with(F.concat(F.array(F.lit(-1)), gone), F.concat(gone, F.array(F.size(lines))), lambda a, b: F.slice(lines, a + 2, b - a - 1))
-    kept = F.when(F.col("dropped").isNull(), F.col(text)).otherwise(F.array_join(F.flatten(runs), "\n"))
+    kept = F.when(F.col("__dropped").isNull(), F.col(text)).otherwise(F.array_join(F.flatten(runs), "\n"))
     before = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
-    return found.withColumns({"lines_before": before, "lines_dropped": F.size(gone), text: kept}).drop("dropped", "__id", "__mark")
+    return found.withColumns({counts[0]: before, counts[1]: F.size(gone), text: kept}).drop("__dropped", "__id", "__mark")
