@@ -9,6 +9,7 @@ from inkwell.functions import stats
 from inkwell.operators import measure, reference as ref
 from inkwell.plans.base import SQL_VALUES, chunks, values
 from inkwell.plans.measure import _rounded
+from inkwell.sources.scratch import materialize
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +22,12 @@ class Setup:
     """What the queries share: values by role, the summary with floors, held-out z of writers, z of the others."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        rows = values(spark, sf_dir).persist()
+        rows = materialize(values(spark, sf_dir))
         self.writer, self.contrast, self.drafts = (rows.where(F.col("role") == r).drop("role", "words") for r in ("writer", "contrast", "draft"))
         self.words = rows.select("chunk_id", "role", "words").distinct()
         self.summary = stats.summary(self.writer, ("grp", "metric"))
-        self.floors = ref.floors(self.summary, counts(spark, sf_dir))
-        self.z = ref.held_out_z(self.writer, self.floors)
+        self.floors = materialize(ref.floors(self.summary, counts(spark, sf_dir)))
+        self.z = materialize(ref.held_out_z(self.writer, self.floors))
         self.rms = ref.reliability(self.z)
         self.contrast_z = ref.z_against(self.contrast, self.floors)
         self.draft_z = ref.z_against(self.drafts, self.floors)
@@ -89,7 +90,7 @@ def deviations_topk(s: Setup) -> DataFrame:
 
 
 def _deltas(s: Setup) -> DataFrame:
-    return ref.held_out_delta(s.z).select(F.col("grp").alias("area"), "document", F.col("delta").alias("value")).persist()
+    return ref.held_out_delta(s.z).select(F.col("grp").alias("area"), "document", F.col("delta").alias("value")).transform(materialize)
 
 
 @_query
@@ -128,7 +129,7 @@ def effects_without(s: Setup) -> DataFrame:
 def _loo(s: Setup) -> DataFrame:
     a = ref.likeness(s.z, ref.fold_without(s.z, s.contrast_z, "reference")).withColumn("side", F.lit("writer"))
     b = ref.likeness(s.contrast_z, ref.fold_without(s.z, s.contrast_z, "contrast")).withColumn("side", F.lit("contrast"))
-    return a.unionByName(b).persist()
+    return materialize(a.unionByName(b))
 
 
 @_query
