@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds join documents to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join documents to test items, Smith-Waterman alignment scores them.
 
-Words are lower-cased and cut at ASCII punctuation and white space. A first scan counts in how many documents each
-n-gram of the items occurs; an item's seeds are the rarer half of its own n-grams (ties included), so an item that is
-everywhere still has seeds. A second scan looks seeds up in every whole text; around the places where an item's seeds hit,
-the item and the text are aligned locally (match 2, mismatch -1, gap -1) and the best score, as a share of the item's
-perfect score, decides: an edited copy loses 1.5 points of 100 for each percent of its words replaced.
+Words are lower-cased and cut at ASCII punctuation and white space. Every n-gram of an item is a seed, rare or not: an
+edited copy makes its intact n-grams frequent and leaves those it broke rare, so a choice by rarity would lose it. One
+scan looks seeds up in every whole text; around the places where an item's seeds hit, the item and the text are aligned
+locally (match 2, mismatch -1, gap -1) and the best score, as a share of the item's perfect score, decides: an edited
+copy loses 1.5 points of 100 for each percent of its words replaced. A copy without one intact n-gram isn't seen.
 
 The items are a stated query set: they are read in blocks of bounded size, each matched against all documents, and only
 a block's tables are on the driver and sent to executors. Items with under `least_words` words are too short to tell and
@@ -103,19 +103,6 @@ class Block:
         good = self.codes[where] == code[some]
         return some[good], where[good]
 
-    def with_seeds(self, frequency: np.ndarray) -> Block:
-        """The block with the rarer half of each item's n-grams only."""
-        codes = np.repeat(np.arange(len(self.codes)), np.diff(self.first))
-        often = frequency[codes]
-        keep = np.zeros(len(codes), bool)
-        order = np.lexsort((often, self.place_item))
-        starts = np.flatnonzero(np.r_[True, np.diff(self.place_item[order]) > 0]) if len(order) else order
-        for i, j in zip(starts, np.r_[starts[1:], len(order)]):
-            own = order[i:j]
-            keep[own[often[own] <= often[own[(len(own) - 1) // 2]]]] = True
-        left = np.unique(codes[keep])
-        return Block(self.n, self.ids, self.vocabulary, self.items, self.codes[left], np.r_[0, np.cumsum(np.bincount(codes[keep], minlength=len(self.codes))[left])], self.place_item[keep], self.place_at[keep])
-
     def matches(self, text: str, least: float) -> list[dict]:
         ids = self.read(text)
         at, code = self.hits(ids)
@@ -145,23 +132,8 @@ class Block:
         return out
 
 
-def _counted(shared):
-    def counted(batches):
-        block = shared.value
-        total = np.zeros(len(block.codes), np.int64)
-        for b in batches:
-            for text in b.column(0):
-                text = text.as_py()
-                if text:
-                    total[np.unique(block.hits(block.read(text))[1])] += 1
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["code", "docs"])
-
-    return counted
-
-
 def fit(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, least_words: int = 8) -> list:
-    """Broadcast blocks of items with their seeds; counts n-grams over all documents, one scan a block."""
+    """Broadcast blocks of items with their seeds."""
     spark: SparkSession = docs.sparkSession
     rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
@@ -170,14 +142,8 @@ def fit(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "i
     for k in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         block = Block.of(sorted(((r[0], r[1]) for r in own), key=lambda r: (r[0] is None, r[0], r[1])), n, least_words)
-        if not block.items:
-            continue
-        shared = spark.sparkContext.broadcast(block)
-        frequency = np.zeros(len(block.codes), np.int64)
-        for code, often in docs.select(F.col(text)).mapInArrow(_counted(shared), "code long, docs long").groupBy("code").agg(F.sum("docs")).collect():
-            frequency[code] = often
-        shared.unpersist()
-        out.append(spark.sparkContext.broadcast(block.with_seeds(frequency)))
+        if block.items:
+            out.append(spark.sparkContext.broadcast(block))
     return out
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from inkwell.llm import decontaminate, line_templates, mixing, secret_scan, suffix_dedup, token_counts
 from inkwell.llm.common import components, row_sums, slices
@@ -72,6 +73,20 @@ def test_decontamination_of_edited_copies(spark):
     assert not got[3] and not got[4] and not got[5] and not got[6]
 
 
+@pytest.mark.parametrize("copies", [1, 1000])
+def test_decontamination_of_copies_with_many_edits(spark, copies):
+    random = np.random.default_rng(copies)
+    items = [(i, " ".join(f"w{x}" for x in random.integers(0, 5000, 40))) for i in range(30)]
+    edited = [(i, " ".join(f"x{k}" if random.random() < (0.2, 0.25, 0.3)[i % 3] else w for k, w in enumerate(t.split()))) for i, t in items]
+    number: dict[str, int] = {}
+    coded = lambda t: np.array([number.setdefault(w, len(number)) for w in t.split()])
+    want = {i for (i, t), (_, e) in zip(items, edited) if decontaminate.align(coded(t), coded(e))[0] >= 40}
+    docs = spark.createDataFrame(edited, "doc_id long, text string").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    blocks = decontaminate.fit(docs, spark.createDataFrame(items, "item_id long, text string"))
+    got = docs.select("doc_id", decontaminate.found(blocks, docs.text).item_id.alias("m")).where(F.array_contains("m", F.col("doc_id")))
+    assert len(want) > 20 and {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()} == dict.fromkeys(want, copies)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(200, 200), (300, None)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
