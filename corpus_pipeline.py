@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import decontaminate, langid, line_templates, mixing, simhash
+from inkwell.llm import decontaminate, langid, line_templates, mixing, resemblance
 from inkwell.llm.common import materialize, table
 
 
@@ -30,11 +30,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id, or one of those without an id."""
-    own = materialize(docs.withColumns({"__fp": simhash.fingerprints(F.col("text")), "__row": F.monotonically_increasing_id()}))
-    named = simhash.linked(own.select("doc_id", "__row", F.col("__fp").alias("fp")).withColumn("doc_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")))
-    keep = named.where("doc_id = component_id").select("doc_id.__row")
-    return own.join(keep, "__row", "left_semi").select(*docs.columns)
+    """One document of each group of near duplicates (5-word shingles, Jaccard 0.8): that with the smallest id, or one of those without an id."""
+    return resemblance.least_of_each(docs, "text", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"), size=5, least=0.8)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

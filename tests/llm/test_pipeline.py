@@ -41,6 +41,19 @@ def test_near_duplicates_leave_one_of_each_group(stages):
     assert {r.doc_id for r in stages[3].collect()} == {rows[i][0] for i in set(root)}
 
 
+def shingles(text):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_duplicates_by_jaccard(stages):
+    rows = sorted((r.doc_id, r.text) for r in stages[2].collect())
+    sets = [shingles(t) for _, t in rows]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = joined(len(sets), links)
+    assert links and {r.doc_id for r in stages[3].collect()} == {rows[i][0] for i in set(root)}
+
+
 def test_decontamination_keeps_clean_documents(spark, sf_dir, stages):
     items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if r.text]
     before, after = stages[3].collect(), {r.doc_id for r in stages[4].collect()}
