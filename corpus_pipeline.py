@@ -24,8 +24,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without recurring template lines; n_chars follows. Documents that lose all their lines go."""
-    kept = line_templates.line_dedup(docs, counts=("__lines", "__gone"))
+    """Documents without recurring template lines, those of one or two tokens too; n_chars follows. Documents that lose all their lines go."""
+    kept = line_templates.line_dedup(docs, least_tokens=1, counts=("__lines", "__gone"))
     return kept.where((F.col("__gone") == 0) | (F.trim("text") != "")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

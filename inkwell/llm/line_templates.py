@@ -6,7 +6,7 @@ share a template whose variable field is that quarter: each line has four such t
 fewer than four remain). A template recurs if `least_docs` documents or more carry it; its lines are dropped from every
 document but the first that carries it (the smallest id).
 
-Lines of under `least_tokens` tokens have no template and stay. Null texts stay null, with no lines; an empty text is one
+Lines of under `least_tokens` tokens, and those without any, have no template and stay. Null texts stay null, with no lines; an empty text is one
 empty line. Null ids come first. Rows that repeat both id and text are one document here and keep or lose the same lines.
 """
 
@@ -29,7 +29,7 @@ def templates(lines: DataFrame, least_tokens: int) -> DataFrame:
     """lines: line and others. Adds key, a hash for each template of the line; lines without one go."""
     spaced = F.translate("line", "\t\v\f\r", "    ")
     masked = F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(spaced)
-    rows = lines.withColumn("tokens", F.split(F.trim(masked), " +")).withColumn("n", F.size("tokens")).where(F.col("n") >= least_tokens)
+    rows = lines.withColumn("tokens", F.split(F.trim(masked), " +")).withColumn("n", F.size("tokens")).where((F.col("n") >= least_tokens) & (F.element_at("tokens", 1) != ""))
     rest = F.col("n") - DEPTH
     at = [F.floor(rest * j / PARTS).cast("int") for j in range(PARTS + 1)]
     part = [F.xxhash64(F.slice("tokens", DEPTH + 1 + at[j], at[j + 1] - at[j])) for j in range(PARTS)]

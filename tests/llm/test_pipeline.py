@@ -63,6 +63,12 @@ def test_decontamination_keeps_clean_documents(spark, sf_dir, stages):
     assert clean <= after
 
 
+def test_short_lines_that_recur_go(spark, sf_dir):
+    docs = spark.createDataFrame([(i, f"Les.\n\nown line of {chr(97 + i) * 3} alone\nAnd ornd.", "en", "a", 1) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, sf_dir).collect()}
+    assert got == {i: f"\nown line of {chr(97 + i) * 3} alone" if i else "Les.\n\nown line of aaa alone\nAnd ornd." for i in range(6)}
+
+
 @pytest.mark.parametrize("kind", ["messy", "empty"])
 def test_messy_and_empty_tables(spark, kind, request):
     folder = request.getfixturevalue(kind)
