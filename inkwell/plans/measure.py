@@ -15,8 +15,8 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def _prep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.prepared(chunks(spark, sf_dir))
+def _prep(spark: SparkSession, sf_dir: str, lang: str | None = "en") -> DataFrame:
+    return m.prepared(chunks(spark, sf_dir, lang))
 
 
 def tokens_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,9 +29,9 @@ def sentence_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prep(spark, sf_dir).select("chunk_id", F.posexplode("lens").alias("pos", "n")).select("chunk_id", F.col("pos").cast("long").alias("pos"), "n")
 
 
-def _area(name: str, *areas: str, keep=None):
+def _area(name: str, *areas: str, keep=None, lang: str | None = "en"):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        got = m.wide(_prep(spark, sf_dir), areas, ("chunk_id",))
+        got = m.wide(_prep(spark, sf_dir, lang), areas, ("chunk_id",))
         return _rounded(got.select("chunk_id", *keep) if keep else got)
 
     query.__name__, query.__doc__ = name, f"Metrics of the areas {', '.join(areas)}."
@@ -42,13 +42,13 @@ SHAPE = ("sentence_words_mean", "sentence_words_median", "sentence_words_sd", "s
 sentence_shape = _area("sentence_shape", "sentence_shape", keep=SHAPE)
 rhythm = _area("rhythm", "rhythm")
 vocabulary_basic = _area("vocabulary_basic", "vocabulary", keep=("word_chars_mean", "long_words_pct"))
-mtld = _area("mtld", "vocabulary", keep=("mtld",))
+mtld = _area("mtld", "vocabulary", keep=("mtld",), lang=None)
 punctuation_rates = _area("punctuation_rates", "punctuation")
 voice_rates = _area("voice_rates", "voice", keep=("contractions_per_1k", "first_singular_per_1k", "first_plural_per_1k", "second_person_per_1k", "negations_per_1k", "hedges_per_1k", "boosters_per_1k", "llm_markers_per_1k", "not_just_but_per_1k", "and_but_so_openers_pct", "transition_openers_pct"))
-phrase_shapes = _area("phrase_shapes", "voice", "rhetoric", keep=("corrective_contrasts_per_1k", "parallel_triads_per_1k", "comma_series_per_1k", "semicolon_balances_per_1k", "colon_reveals_per_1k"))
+phrase_shapes = _area("phrase_shapes", "voice", "rhetoric", keep=("corrective_contrasts_per_1k", "parallel_triads_per_1k", "comma_series_per_1k", "semicolon_balances_per_1k", "colon_reveals_per_1k"), lang=None)
 emoji_bullets = _area("emoji_bullets", "social")
 edited_register = _area("edited_register", "register")
-paragraph_shape = _area("paragraph_shape", "size", "sentence_shape", keep=("words", "sentences", "paragraphs", "apostrophes", "paragraph_sentences_mean", "paragraph_words_mean", "one_sentence_paragraphs_pct"))
+paragraph_shape = _area("paragraph_shape", "size", "sentence_shape", keep=("words", "sentences", "paragraphs", "apostrophes", "paragraph_sentences_mean", "paragraph_words_mean", "one_sentence_paragraphs_pct"), lang=None)
 
 
 def mattr_100(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +85,8 @@ def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 145 surface metrics of each chunk, a column each."""
-    return _rounded(m.measured(_prep(spark, sf_dir)))
+    """All 145 surface metrics of each document of any language, a column each."""
+    return _rounded(m.measured(_prep(spark, sf_dir, None)))
 
 
 _list = ", ".join(f"'{w}'" for w in lx.FUNCTION_WORDS)

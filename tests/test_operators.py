@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import stats
 from inkwell.functions.tokens import sentences, tokens
 from inkwell.operators import corpus, measure as m, patterns, reference as ref
+from inkwell.plans.measure import QUERIES
 
 
 def one(spark, text: str, **columns):
@@ -131,3 +132,9 @@ def test_icc_bounds(spark):
 def test_t_values():
     assert stats.t_value(0.9, 1) == pytest.approx(3.0777, abs=1e-3) and stats.t_value(0.9, 2) == pytest.approx(1.8856, abs=1e-3)
     assert stats.t_value(0.9, 10) == pytest.approx(1.3722, abs=1e-3)
+
+
+@pytest.mark.parametrize("name", ["mtld", "phrase_shapes", "paragraph_shape", "all_metrics"])
+def test_queries_without_sql_take_all_languages(spark, sf_dir, name):
+    got = QUERIES[name](spark, sf_dir).select("chunk_id")
+    assert sorted(r[0] for r in got.collect()) == sorted(r[0] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect())
