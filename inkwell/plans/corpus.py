@@ -90,7 +90,7 @@ def js_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram13_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each document with a near neighbour in id order keeps of its 13-word sequences: pairs of consecutive ids."""
+    """How much each English document changes of its 13-word sequences to the document five ids on, where that is English too."""
     d = chunks(spark, sf_dir).select("chunk_id", "text")
     pairs = d.select(F.col("chunk_id").alias("pair"), F.col("text").alias("old")).join(d.select((F.col("chunk_id") - 5).alias("pair"), F.col("text").alias("new")), "pair")
     return _rounded(corpus.ngram_changed(pairs))
