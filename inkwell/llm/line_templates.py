@@ -29,7 +29,8 @@ def templates(lines: DataFrame, least_tokens: int) -> DataFrame:
     """lines: line and others. Adds key, a hash for each template of the line; lines without one go."""
     spaced = F.translate("line", "\t\v\f\r", "    ")
     masked = F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(spaced)
-    rows = lines.withColumn("tokens", F.split(F.trim(masked), " +")).withColumn("n", F.size("tokens")).where((F.col("n") >= least_tokens) & (F.element_at("tokens", 1) != ""))
+    lines = lines.where(F.trim(spaced) != "") if least_tokens < 2 else lines  # no token at all splits to one empty one
+    rows = lines.withColumn("tokens", F.split(F.trim(masked), " +")).withColumn("n", F.size("tokens")).where(F.col("n") >= least_tokens)
     rest = F.col("n") - DEPTH
     at = [F.floor(rest * j / PARTS).cast("int") for j in range(PARTS + 1)]
     part = [F.xxhash64(F.slice("tokens", DEPTH + 1 + at[j], at[j + 1] - at[j])) for j in range(PARTS)]
