@@ -25,24 +25,28 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _tokens(text: Column) -> Column:
+    """The tokens of each line of a text, masked: an array of arrays. White space and digits are looked for once a text."""
+    spaced = F.when(text.rlike("[\t\\x0B\f\r]"), F.translate(text, "\t\v\f\r", "    ")).otherwise(text)
+    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(spaced, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", "<*>")).otherwise(spaced)
+    return F.transform(_lines(masked), lambda line: F.array_remove(F.split(line, " "), ""))
+
+
 def templates(lines: DataFrame, least_tokens: int) -> DataFrame:
-    """lines: line and others. Adds key, a hash for each template of the line; lines without one go."""
-    spaced = F.translate("line", "\t\v\f\r", "    ")
-    masked = F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(spaced)
-    lines = lines.where(F.trim(spaced) != "") if least_tokens < 2 else lines  # no token at all splits to one empty one
-    rows = lines.withColumn("tokens", F.split(F.trim(masked), " +")).withColumn("n", F.size("tokens")).where(F.col("n") >= least_tokens)
+    """lines: tokens and others. Adds key, a hash for each template of the line; lines without one go."""
+    rows = lines.withColumn("n", F.size("tokens")).where(F.col("n") >= max(1, least_tokens))
     rest = F.col("n") - DEPTH
     at = [F.floor(rest * j / PARTS).cast("int") for j in range(PARTS + 1)]
     part = [F.xxhash64(F.slice("tokens", DEPTH + 1 + at[j], at[j + 1] - at[j])) for j in range(PARTS)]
     rows = rows.withColumn("head", F.xxhash64("n", F.slice("tokens", 1, DEPTH))).withColumns({f"part{j}": F.when(rest >= PARTS, part[j]) for j in range(PARTS)})
     but_one = F.array(*[F.xxhash64("head", F.lit(j), *[f"part{k}" for k in range(PARTS) if k != j]) for j in range(PARTS)])
     keys = F.when(rest >= PARTS, but_one).otherwise(F.array(F.xxhash64("head", F.lit(-1), "tokens")))
-    return rows.withColumn("key", F.explode(keys)).drop("tokens", "n", "head", "line", *[f"part{j}" for j in range(PARTS)])
+    return rows.select(*[c for c in lines.columns if c != "tokens"], F.explode(keys).alias("key"))
 
 
 def dropped_lines(docs: DataFrame, doc_id: str, text: str, least_docs: int, least_tokens: int) -> DataFrame:
     """Rows (id, mark, dropped): the documents that lose lines (mark: hash of the text), and those lines' ascending numbers."""
-    lines = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("mark"), F.posexplode(_lines(F.col(text))).alias("i", "line"))
+    lines = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("mark"), F.posexplode(_tokens(F.col(text))).alias("i", "tokens"))
     each = materialize(templates(lines, least_tokens))
     carried = each.select("key", "id", "mark").distinct()
     recurring = carried.groupBy("key").agg(F.count("*").alias("docs"), F.min(F.struct("id", "mark")).alias("first")).where(F.col("docs") >= least_docs)
