@@ -171,11 +171,12 @@ def fit(df: DataFrame, text: str | Column, label: str | Column, per_language: in
 
 
 def predicted(model: LanguageModel, text: Column) -> Column:
-    """struct(lang string, score double, rejected boolean) of a text column."""
+    """struct(lang string, score double, rejected boolean) of a text column; evaluated once however often it is read."""
 
     @F.arrow_udf("struct<lang:string,score:double,rejected:boolean>")
     def predict(column: pa.Array) -> pa.Array:
         lang, score = model.predict(*utf8(column))
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array((score < model.floor) | (np.array(lang, object) == UND), pa.bool_())], ["lang", "score", "rejected"])
 
-    return predict(text)
+    # Marked so that a filter on the answer isn't pushed below it and asks a second time.
+    return predict.asNondeterministic()(text)
