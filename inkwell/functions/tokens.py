@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,8 +42,12 @@ def plain_blocks(text: Column, separator: str = r"\n[ \t>]*\n") -> Column:
 
 
 def char_trigrams(text: Column) -> Column:
-    """Folded three-character windows, an array."""
+    """Folded three-character windows, an array, in one pass over the text."""
     t = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
     t = F.replace(F.translate(t, "‘’“”—–", "''\"\"--"), F.lit("…"), F.lit("..."))
-    t = F.regexp_replace(t, r"\s+", " ")
-    return F.when(F.length(t) >= 3, F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(F.regexp_replace(t, r"\s+", " "), F.lit("(?s)(?=(.{3}))."), F.lit(1))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once; named by itself in a lambda, it would be for each element."""
+    return F.transform(F.array(value), body)[0]

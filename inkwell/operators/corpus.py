@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.tokens import WORD, sentences, tokens
+from inkwell.functions.tokens import WORD, let, sentences, tokens
+from inkwell.sources.scratch import materialize
 
 LEAST_DUPLICATE_WORDS = 20
 WINDOW = 500
@@ -16,20 +19,19 @@ PIECES_PER_CHUNK = 1.5
 BUDGET = 30_000
 
 
-def word_key(text: Column) -> Column:
-    """A digest of a text's folded words in order: equal for texts that differ in case, marks and spaces alone."""
-    return F.sha2(F.array_join(tokens(text), " "), 256)
-
-
 def duplicates(texts: DataFrame, key: Sequence[str], text: str = "text", order: Sequence[str] = ()) -> DataFrame:
     """texts with first (struct of order and key): the first text with the same words; null for those of under 20 words.
 
-    A grouped minimum finds the first, so a text copied over a third of all rows is no task's own.
+    A grouped minimum finds the first. Texts without a key aren't shuffled for it, and the minima are dealt anew before
+    the join, so both its sides are plain shuffles and AQE splits a text copied over a third of all rows.
     """
     order = list(order) or list(key)
-    rows = texts.withColumn("__k", F.when(F.regexp_count(text, F.lit(WORD)) >= LEAST_DUPLICATE_WORDS, word_key(F.col(text))))
-    first = rows.where("__k IS NOT NULL").groupBy("__k").agg(F.min(F.struct(*order)).alias("first"))
-    return rows.join(first, "__k", "left").drop("__k")
+    words = tokens(F.col(text))
+    rows = texts.withColumn("__k", let(words, lambda w: F.when(F.size(w) >= LEAST_DUPLICATE_WORDS, F.sha2(F.array_join(w, " "), 256))))
+    long = rows.where("__k IS NOT NULL")
+    first = long.groupBy("__k").agg(F.min(F.struct(*order)).alias("first"))
+    short = rows.where("__k IS NULL").withColumn("first", F.lit(None).cast(first.schema["first"].dataType))
+    return long.join(first.hint("rebalance"), "__k").unionByName(short).drop("__k")
 
 
 def drop_duplicates(texts: DataFrame, key: Sequence[str], text: str = "text", order: Sequence[str] = ()) -> DataFrame:
@@ -38,28 +40,49 @@ def drop_duplicates(texts: DataFrame, key: Sequence[str], text: str = "text", or
     return duplicates(texts, key, text, order).where(F.col("first").isNull() | (F.col("first") == F.struct(*order))).drop("first")
 
 
+class _Packer:
+    """Greedy packing of sized items to windows, one after the other.
+
+    A window closes at `words`, or early rather than pass one and a half times that; a rest under half joins the last.
+    """
+
+    def __init__(self, words: int):
+        self.words, self.window, self.size = words, 0, 0
+        self.filled = False  # the open window holds an item
+
+    def put(self, n: int, glued: bool = False, glue_next: bool = False) -> int:
+        """The window of the next item; glued: it stays with the item before."""
+        if self.filled and not glued and 2 * self.size >= self.words and self.size + n > 1.5 * self.words:
+            self.window, self.size = self.window + 1, 0
+        own = self.window
+        self.size, self.filled = self.size + n, True
+        if self.size >= self.words and not glue_next:
+            self.window, self.size, self.filled = self.window + 1, 0, False
+        return own
+
+    def rest(self) -> int | None:
+        """The window that is too small to stand alone at the end, if there is one."""
+        return self.window if self.filled and self.window and 2 * self.size < self.words else None
+
+
 def packed(sizes: Column, words: int = WINDOW, glued: Column | None = None) -> Column:
     """The window number (from 0) of each item of an array of word counts, greedily packed in order.
 
-    A window closes at `words`, or early rather than pass one and a half times that; a rest under half joins the last.
     glued: an array of booleans, items that stay with the item before them.
     """
-    stick = F.transform(sizes, lambda _: F.lit(False)) if glued is None else glued
-    after = F.concat(F.slice(stick, 2, F.greatest(F.size(stick) - 1, F.lit(0))), F.array(F.lit(False)))
-    items = F.arrays_zip(sizes.alias("n"), stick.alias("g"), after.alias("a"))
-    start = F.struct(F.lit(0).alias("w"), F.lit(0).cast("long").alias("c"), F.lit(False).alias("open"), F.array().cast("array<int>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        early = s["open"] & (s["c"] * 2 >= words) & (s["c"] + x["n"] > words * 1.5) & ~x["g"]
-        w, c = F.when(early, s["w"] + 1).otherwise(s["w"]), F.when(early, F.lit(0)).otherwise(s["c"]) + x["n"]
-        full = (c >= words) & ~x["a"]
-        return F.struct(F.when(full, w + 1).otherwise(w).cast("int").alias("w"), F.when(full, F.lit(0)).otherwise(c).cast("long").alias("c"), (~full).alias("open"), F.concat(s["out"], F.array(w.cast("int"))).alias("out"))
+    @F.arrow_udf("array<int>")
+    def at(column: pa.Array, stick: pa.Array) -> pa.Array:
+        out = []
+        for ns, gs in zip(column.to_pylist(), stick.to_pylist()):
+            gs, packer = gs or [False] * len(ns), _Packer(words)
+            own = [packer.put(n, g, after) for n, g, after in zip(ns, gs, [*gs[1:], False])]
+            rest = packer.rest()
+            out.append([w - (w == rest) for w in own])
+        return pa.array(out, pa.list_(pa.int32()))
 
-    def finish(s: Column) -> Column:
-        joins = s["open"] & (s["w"] > 0) & (s["c"] * 2 < words)
-        return F.when(joins, F.transform(s["out"], lambda w: F.least(w, s["w"] - 1))).otherwise(s["out"])
-
-    return F.aggregate(F.transform(items, lambda x: F.struct(x["n"].cast("long").alias("n"), x["g"].alias("g"), x["a"].alias("a"))), start, step, finish)
+    none = F.array().cast("array<boolean>")
+    return at(F.coalesce(sizes.cast("array<int>"), F.array().cast("array<int>")), none if glued is None else F.coalesce(glued, none))
 
 
 def pieces(prep: DataFrame, words: int = WINDOW) -> DataFrame:
@@ -79,17 +102,55 @@ def windows(prep: DataFrame, words: int = WINDOW, keep: Sequence[str] = ("chunk_
     return parts.select(*keep, "window", "n", F.array_join(F.transform("p", lambda x: x["t"]), "").alias("text"))
 
 
+def _windowed(words: int):
+    """Sorted rows (g, n and others) with window; only rows of the open window are kept back, as they may join the one before."""
+
+    def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, packer, kept = None, _Packer(words), []  # kept: slices of batches and their window
+
+        def sent(last: bool) -> Iterator[pa.RecordBatch]:
+            rest = packer.rest() if last else None
+            while kept and (last or kept[0][1] != packer.window):
+                rows, window = kept.pop(0)
+                yield rows.append_column(pa.field("window", pa.int32()), pa.array(np.full(rows.num_rows, window - (window == rest), np.int32)))
+
+        for batch in batches:
+            sizes, groups = batch.column(batch.schema.get_field_index("n")).to_pylist(), batch.column(batch.schema.get_field_index("g")).to_pylist()
+            own = []
+            for i, (n, g) in enumerate(zip(sizes, groups)):
+                if g != group:
+                    if own:
+                        kept += _runs(batch, own, i)
+                        own = []
+                    yield from sent(True)
+                    group, packer = g, _Packer(words)
+                own.append(packer.put(n))
+            if own:
+                kept += _runs(batch, own, len(sizes))
+            yield from sent(False)
+        yield from sent(True)
+
+    return windowed
+
+
+def _runs(batch: pa.RecordBatch, own: list[int], end: int) -> list[tuple[pa.RecordBatch, int]]:
+    """Slices of equal windows of the rows before `end` that `own` has windows for."""
+    edge = np.flatnonzero(np.diff(np.r_[-1, own, -1]))
+    return [(batch.slice(end - len(own) + int(i), int(j - i)), own[i]) for i, j in zip(edge[:-1], edge[1:])]
+
+
 def pool(records: DataFrame, group: Sequence[str], order: str, text: str = "text", words: int = WINDOW) -> DataFrame:
     """(group, window, n, texts, text): short records of a group joined in order to windows.
 
-    A group's records are gathered only in packs: a first pass packs word counts (two numbers a record), so the texts of
-    a large group are spread over its windows.
+    Word counts and orders alone are sorted by group and streamed through the packer, so a group of any size is a stream
+    of small rows, never a row; its texts are spread over its windows. Null groups are one group. Records of one group
+    and order come in the order they are read in.
     """
     counted = records.withColumn("n", F.regexp_count(F.col(text), F.lit(WORD)).cast("long")).where("n > 0")
-    orders = counted.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(order, "n"))).alias("items"))
-    at = orders.withColumn("at", packed(F.transform("items", lambda x: x["n"]), words))
-    spots = at.select(*group, F.explode(F.arrays_zip("items", "at")).alias("x")).select(*group, F.col(f"x.items.{order}").alias(order), F.col("x.at").alias("window"))
-    joined = counted.join(spots, [*group, order])
+    held = materialize(counted.withColumn("__row", F.monotonically_increasing_id()))
+    keys = held.select(F.to_json(F.struct(*group)).alias("g"), F.col(order).alias("o"), "n", "__row").repartition("g").sortWithinPartitions("g", "o", "__row")
+    spots = keys.select("g", "n", "__row").mapInArrow(_windowed(words), "g string, n long, __row long, window int").select("__row", "window")
+    joined = held.join(spots, "__row")
     parts = joined.groupBy(*group, "window").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.array_sort(F.collect_list(F.struct(order, F.col(text).alias("t")))).alias("p"))
     return parts.select(*group, "window", "n", "texts", F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("text"))
 
@@ -102,24 +163,33 @@ def pools_by_default(prep: DataFrame, words: int = WINDOW) -> DataFrame:
 def every_kth(rows: DataFrame, order: Sequence[str], size: str, budget: int = BUDGET, by: Sequence[str] = ()) -> DataFrame:
     """A systematic sample: every k-th row in order, k the least that keeps `size` within a budget. Adds k.
 
-    Places are prefix counts in two levels (hash-free: range buckets of the order), so no task orders all rows.
+    Places are prefix counts in two levels, over range buckets of the order and inside each, so no task orders all rows.
+    The buckets are written out once: their bounds are sampled, and a second evaluation would cut elsewhere.
     """
     k = rows.groupBy(*by).agg(F.greatest(F.lit(1), F.ceil(F.sum(size) / budget)).cast("long").alias("k"))
-    rows = rows.join(k, list(by)) if by else rows.crossJoin(F.broadcast(k))  # one row
-    ranged = rows.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id())
+    ranged = materialize(rows.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()))
     counts = ranged.groupBy(*by, "__p").agg(F.count("*").alias("__c"))
     before = counts.withColumn("__b", F.coalesce(F.sum("__c").over(Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
+    before = before.join(k, list(by)) if by else before.crossJoin(F.broadcast(k))  # one row
     here = F.row_number().over(Window.partitionBy(*by, "__p").orderBy(*order)) - 1
-    return ranged.withColumn("__r", here).join(F.broadcast(before), [*by, "__p"]).where((F.col("__r") + F.col("__b")) % F.col("k") == 0).drop("__r", "__b", "__p")
+    return ranged.withColumn("__r", here).join(before, [*by, "__p"]).where((F.col("__r") + F.col("__b")) % F.col("k") == 0).drop("__r", "__b", "__p")
 
 
 def stand_ins(windowed: DataFrame, document: str, order: str, groups: int = 8) -> DataFrame:
-    """Windows of a document that can't be split, with stand_in (from 0): near-equal runs with edges at round(i * n / groups)."""
-    n = windowed.groupBy(document).agg(F.count("*").alias("__n"))
-    at = F.row_number().over(Window.partitionBy(document).orderBy(order)) - 1
+    """Windows of a document that can't be split, with stand_in (from 0): near-equal runs with edges at round(i * n / groups).
+
+    Places in a document are prefix counts over range buckets, so a document with a third of all rows isn't one task.
+    """
+    ranged = materialize(windowed.repartitionByRange(document, order).withColumn("__p", F.spark_partition_id()))
+    counts = ranged.groupBy(document, "__p").agg(F.count("*").alias("__c"))
+    every = Window.partitionBy(document)
+    before = counts.select(document, "__p", F.sum("__c").over(every).alias("__n"), F.coalesce(F.sum("__c").over(every.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    at = F.row_number().over(Window.partitionBy(document, "__p").orderBy(order)) - 1 + F.col("__b")
     g = F.least(F.lit(groups), F.col("__n")).cast("int")
     edges = F.transform(F.sequence(F.lit(1), g), lambda i: F.bround(i * F.col("__n") / g).cast("long"))
-    return windowed.join(n, document).withColumn("__at", at).withColumn("stand_in", F.size(F.filter(edges, lambda e: e <= F.col("__at")))).drop("__n", "__at")
+    before = before.withColumnsRenamed({document: "__d", "__p": "__q"})
+    placed = ranged.join(before, F.col(document).eqNullSafe(F.col("__d")) & (F.col("__p") == F.col("__q"))).withColumn("__at", at)
+    return placed.withColumn("stand_in", F.size(F.filter(edges, lambda e: e <= F.col("__at")))).select(*windowed.columns, "stand_in")
 
 
 def group_quality(records: DataFrame, group: str, text: str = "text") -> DataFrame:
@@ -148,8 +218,8 @@ def paired(edits: DataFrame, originals: DataFrame, keys: Sequence[str]) -> DataF
 def ngram_changed(pairs: DataFrame, old: str = "old", new: str = "new", n: int = 13, key: str = "pair") -> DataFrame:
     """(key, grams, changed): share of the original's n-word sequences that its edit doesn't have; repeats count."""
     def grams(c: str) -> Column:
-        t = tokens(F.col(c))
-        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.slice(t, i, n)))).otherwise(F.array().cast("array<long>"))
+        hashed = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.slice(t, i, n)))
+        return let(tokens(F.col(c)), lambda t: F.when(F.size(t) >= n, hashed(t)).otherwise(F.array().cast("array<long>")))
 
     a = pairs.select(key, F.explode(grams(old)).alias("g"))
     b = pairs.select(key, F.explode(grams(new)).alias("g")).distinct().withColumn("kept", F.lit(1))

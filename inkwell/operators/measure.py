@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import lexicon as lx
 from inkwell.functions.registry import METRICS, UNSCORED
 from inkwell.functions.tokens import WORD, char_trigrams, plain_blocks, sentences, tokens
+from inkwell.operators.vocabulary import vocabulary
 
-SHORT, LONG, LONG_WORD, MATTR, MTLD_LEAST = 8, 30, 7, 100, 50
+SHORT, LONG, LONG_WORD = 8, 30, 7
 #: Prose columns of a chunk: what the Markdown reduction gives, or plain text.
 PROSE = "struct<blocks:array<string>,paragraphs:array<string>,headings:int,list_items:int,links:int,bold:int,code_spans:int>"
 
@@ -40,9 +40,11 @@ def _median(values: Column) -> Column:
     return F.when(n > 0, (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2)
 
 
-def _pstdev(values: Column) -> Column:
-    mean = _mean(values)
-    return F.sqrt(_mean(F.transform(values, lambda x: (x - mean) * (x - mean))))
+def _pstdev(counts: Column) -> Column:
+    """Of whole numbers, so that sums of squares are exact."""
+    n = F.size(counts)
+    total, squares = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x), F.aggregate(counts, F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    return F.when(n > 0, F.sqrt(n * squares - total * total) / n)
 
 
 def _share(values: Column, test) -> Column:
@@ -83,7 +85,7 @@ def _area_columns() -> dict[str, dict[str, Column]]:
             "one_sentence_paragraphs_pct": structure(_share(per(lambda p: F.size(sentences(p))), lambda x: x == 1)),
         },
         "rhythm": {"sentence_length_cv": F.when(mean > 0, _pstdev(lens) / mean), "sentence_length_change_mean": change},
-        "vocabulary": {"word_chars_mean": _mean(F.transform("tok", F.length)), "long_words_pct": _share(F.col("tok"), lambda x: F.length(x) >= LONG_WORD), "mtld": mtld(F.col("tok"))},
+        "vocabulary": {"word_chars_mean": _mean(F.transform("tok", F.length)), "long_words_pct": _share(F.col("tok"), lambda x: F.length(x) >= LONG_WORD), "mtld": vocabulary(F.col("tok"), ("mtld",))["mtld"]},
         "punctuation": {
             f"{name}_per_1k": _rate(count) for name, count in {
                 **{k: _matches("t", v) for k, v in {"commas": ",", "semicolons": ";", "colons": ":", "em_dashes": lx.EM_DASHES, "parentheses": r"\(", "questions": r"\?", "exclamations": "!", "ellipses": lx.ELLIPSES}.items()},
@@ -103,56 +105,14 @@ def _area_columns() -> dict[str, dict[str, Column]]:
     }
 
 
-def mtld(tok: Column, threshold: float = 0.72) -> Column:
-    """Measure of textual lexical diversity, both directions averaged: a sequential fold, in an Arrow function."""
-
-    def one_way(words: list[str]) -> float:
-        factors, types, count = 0.0, set(), 0
-        for w in words:
-            count += 1
-            types.add(w)
-            if len(types) / count <= threshold:
-                factors, types, count = factors + 1, set(), 0
-        if count:
-            factors += (1 - len(types) / count) / (1 - threshold)
-        return len(words) / factors if factors else float(len(words))
-
-    @F.arrow_udf("double")
-    def folded(column: pa.Array) -> pa.Array:
-        return pa.array([(one_way(w) + one_way(w[::-1])) / 2 if w is not None and len(w) >= MTLD_LEAST else None for w in (x.as_py() for x in column)], pa.float64())
-
-    return folded(tok)
-
-
 def token_rows(prep: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(key, pos, tok), positions from 0."""
     return prep.select(key, F.posexplode("tok").alias("pos", "tok"))
 
 
-def mattr(rows: DataFrame, key: str = "chunk_id", window: int = MATTR) -> DataFrame:
-    """(key, mattr_100): moving-average type/token ratio in closed form, from each word's distance to its last occurrence.
-
-    A word counts as new in the windows that hold it and not its last occurrence, so one lag replaces a sliding set.
-    """
-    w = F.lit(window)
-    prev = F.coalesce(F.lag("pos").over(Window.partitionBy(key, "tok").orderBy("pos")), F.lit(-1))
-    n = F.count("*").over(Window.partitionBy(key))
-    first = F.greatest(F.lit(0), F.col("pos") - w + 1, F.col("prev") + 1)
-    new = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("size") - w) - first + 1)
-    got = rows.withColumn("prev", prev).withColumn("size", n).where(F.col("size") >= window)
-    return got.groupBy(key).agg((F.sum(new) / ((F.first("size") - w + 1) * w)).alias("mattr_100"))
-
-
-def hapax_share(rows: DataFrame, key: str = "chunk_id", block: int = MATTR) -> DataFrame:
-    """(key, hapax_share_100): percent of word types used once, over complete blocks."""
-    counts = rows.groupBy(key, F.floor(F.col("pos") / block).alias("b"), "tok").agg(F.count("*").alias("c"))
-    blocks = counts.groupBy(key, "b").agg((100.0 * F.count_if(F.col("c") == 1) / F.count("*")).alias("share"), F.sum("c").alias("n"))
-    return blocks.where(F.col("n") == block).groupBy(key).agg(F.avg("share").alias("hapax_share_100"))
-
-
-def function_words(rows: DataFrame, key: str = "chunk_id", words: tuple[str, ...] = lx.FUNCTION_WORDS) -> DataFrame:
-    """(key, tok, count): occurrences of listed words; words a chunk doesn't have are absent."""
-    return rows.where(F.col("tok").isin(*words)).groupBy(key, "tok").agg(F.count("*").alias("count"))
+def function_word_rates(counts: Column, n: Column) -> dict[str, Column]:
+    """A column for each function word, of their counts in order."""
+    return {f"fw_{w}_per_1k": F.when(n > 0, F.element_at(counts, i) * (1000.0 / n)) for i, w in enumerate(lx.FUNCTION_WORDS, 1)}
 
 
 def register_rate(weights: dict[str, float]) -> Column:
@@ -168,23 +128,26 @@ def unlikely_english() -> Column:
     return F.coalesce((F.col("n") > 0) & (letters > 0) & ((plain < 0.5 * letters) | ((F.col("n") >= 50) & (known < 0.05 * F.col("n")))), F.lit(False))
 
 
-def wide(prep: DataFrame, areas: tuple[str, ...] | None = None, keep: tuple[str, ...] = ("chunk_id", "document"), raw: str = "text") -> DataFrame:
-    """A column for each metric of the areas (all by default) that one row tells alone; no shuffle."""
+def _wide_columns(areas: tuple[str, ...] | None) -> dict[str, Column]:
     columns = _area_columns()
     chosen = {m: c for a in areas or columns for m, c in columns.get(a, {}).items()}
     if areas is None or "register" in areas:
         chosen["edited_register_per_1k"] = register_rate(lx.REGISTER)
-    return prep.withColumn("raw", F.col(raw)).select(*keep, *[c.alias(m) for m, c in chosen.items()])
+    return chosen
+
+
+def wide(prep: DataFrame, areas: tuple[str, ...] | None = None, keep: tuple[str, ...] = ("chunk_id", "document"), raw: str = "text") -> DataFrame:
+    """A column for each metric of the areas (all by default) that JVM expressions and mtld's fold tell; no shuffle."""
+    return prep.withColumn("raw", F.col(raw)).select(*keep, *[c.alias(m) for m, c in _wide_columns(areas).items()])
 
 
 def measured(prep: DataFrame, keep: tuple[str, ...] = ("chunk_id", "document"), raw: str = "text") -> DataFrame:
-    """All surface metrics of chunks, a column each; chunk_id is the key."""
-    own = wide(prep, None, keep, raw)
-    rows = token_rows(prep)
-    counts = function_words(rows).groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("tok", "count"))).alias("fw"))
-    out = own.join(mattr(rows), "chunk_id", "left").join(hapax_share(rows), "chunk_id", "left").join(counts, "chunk_id", "left")
-    rates = {f"fw_{w}_per_1k": F.when(F.col("words") > 0, F.coalesce(F.try_element_at("fw", F.lit(w)), F.lit(0)) * (1000.0 / F.col("words"))) for w in lx.FUNCTION_WORDS}
-    return out.withColumns(rates).drop("fw")
+    """All surface metrics of chunks, a column each: a projection, with one Arrow function for what counts word types."""
+    rows = prep.withColumn("raw", F.col(raw)).withColumn("vocabulary", vocabulary(F.col("tok"), listed=lx.FUNCTION_WORDS))
+    columns = {m: c for m, c in _wide_columns(None).items() if m != "mtld"}
+    columns |= {m: F.col(f"vocabulary.{m}") for m in ("mattr_100", "mtld", "hapax_share_100")}
+    columns |= function_word_rates(F.col("vocabulary.counts"), F.col("n"))
+    return rows.select(*keep, *[c.alias(m) for m, c in columns.items()])
 
 
 def long(metrics: DataFrame, keep: tuple[str, ...] = ("chunk_id", "document"), scored_only: bool = False) -> DataFrame:

@@ -18,14 +18,22 @@ def counted(patterns: DataFrame, by: Sequence[str]) -> DataFrame:
 def top_k(counts: DataFrame, by: Sequence[str], k: int = 300) -> DataFrame:
     """(by, pattern, share): the k most frequent patterns (ties by pattern), the rest as one.
 
-    The k-th count bounds what may belong to the top, so only rows at least that frequent are ranked.
+    Each task sends on its own k at most of a group (a limit, or a ranked filter, before the shuffle); the rest is the
+    total minus what the top holds.
     """
     total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "pattern"))
-    ranked = counts.withColumn("r", rank).withColumn("pattern", F.when(F.col("r") <= k, F.col("pattern")).otherwise(OTHER))
-    got = ranked.groupBy(*by, "pattern").agg(F.sum("n").alias("n"))
-    got = got.join(total, list(by)) if by else got.crossJoin(F.broadcast(total))
-    return got.withColumn("share", F.col("n") / F.col("total")).where(f"pattern <> '{OTHER}' OR share > 1e-12").select(*by, "pattern", "share")
+    if by:
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "pattern"))
+        top = counts.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+        rows = top.join(total, list(by))
+        rest = total.join(top.groupBy(*by).agg(F.sum("n").alias("held")), list(by))
+    else:
+        top = counts.orderBy(F.desc("n"), "pattern").limit(k)
+        rows = top.crossJoin(F.broadcast(total))  # one row
+        rest = total.crossJoin(F.broadcast(top.agg(F.sum("n").alias("held"))))  # one row
+    rest = rest.where("total > held").select(*by, F.lit(OTHER).alias("pattern"), (F.col("total") - F.col("held")).alias("n"), "total")
+    every = rows.select(*by, "pattern", "n", "total").unionByName(rest).withColumn("share", F.col("n") / F.col("total"))
+    return every.where(f"pattern <> '{OTHER}' OR share > 1e-12").select(*by, "pattern", "share")
 
 
 def collapsed(shares: DataFrame, known: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -106,18 +106,24 @@ def fold(reference_z: DataFrame, contrast_z: DataFrame) -> DataFrame:
     return r.join(c, _KEY).select(*_KEY, ((F.col("mc") - F.col("mr")) / F.greatest("rms", F.lit(1.0))).alias("effect"), "rms")
 
 
-def fold_without(reference_z: DataFrame, contrast_z: DataFrame, side: str) -> DataFrame:
-    """fold for each left-out document of a side, `reference` or `contrast`: adds document."""
+def fold_without(reference_z: DataFrame, contrast_z: DataFrame, side: str, every_metric: bool = False) -> DataFrame:
+    """fold for each left-out document of a side, `reference` or `contrast`: adds document.
+
+    For the metrics that the document has, which is what its own likeness reads; every_metric: for all, a row for each
+    metric and document.
+    """
     def parts(z: DataFrame) -> tuple[DataFrame, DataFrame]:
         own = z.groupBy(*_KEY, "document").agg(F.count("z").alias("dn"), F.sum("z").alias("d1"), F.sum(F.col("z") * F.col("z")).alias("d2"))
         return own, own.groupBy(*_KEY).agg(F.sum("dn").alias("n"), F.sum("d1").alias("s1"), F.sum("d2").alias("s2"))
 
     (rp, rt), (cp, ct) = parts(reference_z), parts(contrast_z)
     ct = ct.select(*_KEY, F.col("n").alias("cn"), F.col("s1").alias("c1"))
-    documents = (reference_z if side == "reference" else contrast_z).select("document").distinct()
-    every = rt.join(ct, _KEY).crossJoin(documents)  # a row for each metric and document: the size of the result
     own = (rp if side == "reference" else cp).select(*_KEY, "document", "dn", "d1", "d2")
-    got = every.join(own, [*_KEY, "document"], "left").fillna(0, ["dn", "d1", "d2"])
+    got = rt.join(ct, _KEY)
+    if every_metric:  # the size of the result
+        got = got.crossJoin(own.select("document").distinct()).join(own, [*_KEY, "document"], "left").fillna(0, ["dn", "d1", "d2"])
+    else:
+        got = got.join(own, _KEY)
     if side == "reference":
         got = got.withColumns({"n": F.col("n") - F.col("dn"), "s1": F.col("s1") - F.col("d1"), "s2": F.greatest(F.lit(0.0), F.col("s2") - F.col("d2"))})
     else:

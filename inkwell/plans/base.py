@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.operators.measure import long, prepared, wide
+from inkwell.sources import tables
 
 #: Metrics of the shorter analytical queries: five areas, all exact in SQL.
 SUBSET = (
@@ -14,11 +15,11 @@ SUBSET = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.spread(tables.table(spark, sf_dir, name))
 
 
-def chunks(spark: SparkSession, sf_dir: str, lang: str | None = "en") -> DataFrame:
-    """Documents as chunks: chunk_id, document (the source), role (writer, contrast or draft by label), text."""
+def chunks(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    """Documents as chunks: chunk_id, document (the source), role (writer, contrast or draft by label), text; all languages, or one."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     role = F.when(F.col("quality") == 1, "writer").when(F.col("quality") == 0, "contrast").otherwise("draft")
@@ -26,11 +27,23 @@ def chunks(spark: SparkSession, sf_dir: str, lang: str | None = "en") -> DataFra
     return out.join(labels, "doc_id", "left").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document"), role.alias("role"), "text")
 
 
+_KEEP = ("chunk_id", "document", "role", "words")
+
+
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, document, role, words, sentences, paragraphs) and the subset's metrics, a column each."""
+    prep = prepared(chunks(spark, sf_dir)).withColumns({"words": F.col("n"), "sentences": F.size("lens"), "paragraphs": F.size("prose.paragraphs")})
+    return wide(prep, ("sentence_shape", "rhythm", "vocabulary", "punctuation", "voice"), (*_KEEP, "sentences", "paragraphs")).select(*_KEEP, "sentences", "paragraphs", *SUBSET)
+
+
+def as_long(rows: DataFrame) -> DataFrame:
+    keep = ("chunk_id", "document", "role", "n")
+    return long(rows.withColumnRenamed("words", "n").select(*keep, *SUBSET), keep).withColumnRenamed("n", "words")
+
+
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chunk_id, document, role, words, grp, metric, value) of the subset's metrics."""
-    keep = ("chunk_id", "document", "role", "n")
-    got = wide(prepared(chunks(spark, sf_dir)), ("sentence_shape", "rhythm", "vocabulary", "punctuation", "voice"), keep)
-    return long(got.select(*keep, *SUBSET), keep).withColumnRenamed("n", "words")
+    return as_long(measured(spark, sf_dir))
 
 
 _W = r"[\pL\pN_]+(?:[''’-][\pL\pN_]+)*"
@@ -38,14 +51,14 @@ SQL_BASE = rf"""
 base AS (
   SELECT d.doc_id AS chunk_id, d.source AS document, CASE l.quality WHEN 1 THEN 'writer' WHEN 0 THEN 'contrast' ELSE 'draft' END AS role, d.text AS raw,
          trim(regexp_replace(coalesce(d.text, ''), '\s+', ' ', 'g')) AS t
-  FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id) WHERE d.lang = 'en'),
+  FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)),
 lists AS (SELECT *, regexp_extract_all(replace(replace(lower(t), 'ß', 'ss'), '’', ''''), '{_W}') AS tok FROM base),
 toks AS (SELECT chunk_id, unnest(tok) AS tok, unnest(range(len(tok))) AS pos FROM lists),
 pieces AS (SELECT chunk_id, unnest(p) AS piece, unnest(range(len(p))) AS pos
            FROM (SELECT chunk_id, string_split(regexp_replace(t, '([.!?]["''”’)\]]?)\s+(["“''‘(\[]?[A-Z0-9])', '\1' || chr(30) || '\2', 'g'), chr(30)) AS p FROM base)),
 islands AS (SELECT *, sum(CASE WHEN glued THEN 0 ELSE 1 END) OVER (PARTITION BY chunk_id ORDER BY pos) AS g
-            FROM (SELECT *, coalesce(regexp_matches(lag(piece) OVER w, '(?i)\b(?:e\.g|i\.e|vs|mr|mrs|ms|dr|st|jr|sr|fig|approx)\.$')
-                            OR (regexp_matches(lag(piece) OVER w, '\b(?:No|Nos|[Vv]ol|pp|[Cc]h)\.$') AND regexp_matches(piece, '^[0-9]')), false) AS glued
+            FROM (SELECT *, coalesce(regexp_matches(lag(piece) OVER w, '(?i)(?:^|[^\pL\pN_])(?:e\.g|i\.e|vs|mr|mrs|ms|dr|st|jr|sr|fig|approx)\.$')
+                            OR (regexp_matches(lag(piece) OVER w, '(?:^|[^\pL\pN_])(?:No|Nos|[Vv]ol|pp|[Cc]h)\.$') AND regexp_matches(piece, '^[0-9]')), false) AS glued
                   FROM pieces WINDOW w AS (PARTITION BY chunk_id ORDER BY pos))),
 sents AS (SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY g) - 1 AS pos, s, CAST(len(regexp_extract_all(s, '{_W}')) AS INTEGER) AS n
           FROM (SELECT chunk_id, g, string_agg(piece, ' ' ORDER BY pos) AS s FROM islands GROUP BY chunk_id, g) WHERE regexp_matches(s, '[\pL\pN_]')),

@@ -90,7 +90,7 @@ def js_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram13_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much each English document changes of its 13-word sequences to the document five ids on, where that is English too."""
+    """How much each document changes of its 13-word sequences to the document five ids on."""
     d = chunks(spark, sf_dir).select("chunk_id", "text")
     pairs = d.select(F.col("chunk_id").alias("pair"), F.col("text").alias("old")).join(d.select((F.col("chunk_id") - 5).alias("pair"), F.col("text").alias("new")), "pair")
     return _rounded(corpus.ngram_changed(pairs))
@@ -131,14 +131,14 @@ SQL = {
     "pool_conversations": _pack_sql(rf"r AS (SELECT conv_id, role, turn, len(regexp_extract_all(text, '{_W}')) AS n FROM conversations), items AS MATERIALIZED (SELECT conv_id || '/' || role AS k, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS pos, n FROM r WHERE n > 0)", 120) + " SELECT CAST(split_part(k, '/', 1) AS BIGINT) AS conv_id, split_part(k, '/', 2) AS role, CAST(g AS INTEGER) AS \"window\", CAST(sum(n) AS BIGINT) AS n, count(*) AS texts FROM packed GROUP BY k, g",
     "pooling_rule": rf"SELECT median(n) AS median_words, median(n) < 125 AS pool FROM (SELECT len(regexp_extract_all(text, '{_W}')) AS n FROM conversations) WHERE n > 0",
     "piece_sampling": f"WITH {SQL_BASE}, s AS (SELECT s.chunk_id, s.pos, s.n, row_number() OVER (ORDER BY s.chunk_id, s.pos) - 1 AS r FROM sents s JOIN base USING (chunk_id) WHERE role = 'writer'), k AS (SELECT CAST(greatest(1, ceil(sum(n) / 30000.0)) AS BIGINT) AS k FROM s) SELECT chunk_id, pos, n, k FROM s, k WHERE r % k = 0",
-    "stand_ins": "WITH b AS (SELECT source AS document, doc_id AS chunk_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE lang = 'en') SELECT document, chunk_id, CAST((SELECT count(*) FROM range(1, 9) r(i) WHERE i <= least(8, n) AND round_even(i * n / CAST(least(8, n) AS DOUBLE), 0) <= place) AS INTEGER) AS stand_in FROM b",
+    "stand_ins": "WITH b AS (SELECT source AS document, doc_id AS chunk_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT document, chunk_id, CAST((SELECT count(*) FROM range(1, 9) r(i) WHERE i <= least(8, n) AND round_even(i * n / CAST(least(8, n) AS DOUBLE), 0) <= place) AS INTEGER) AS stand_in FROM b",
     "group_quality": rf"WITH g AS (SELECT conv_id, sum(len(regexp_extract_all(text, '{_W}'))) AS n, count(*) AS c FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1) SELECT CAST(sum(c) AS BIGINT) AS records, count(*) AS groups, median(n) AS median_group_words, (SELECT count(*) FROM conversations WHERE conv_id IS NULL) AS without_group FROM g",
     "group_fields": "WITH c AS (SELECT count(*) AS r, count(DISTINCT conv_id) AS a, count(DISTINCT turn) AS b, count(DISTINCT role) AS c FROM conversations), e AS (SELECT r, 'conv_id' AS field, a AS v FROM c UNION ALL SELECT r, 'turn', b FROM c UNION ALL SELECT r, 'role', c FROM c) SELECT field, v AS \"values\", v >= 2 AND v <= r / 3.0 AS usable FROM e",
     "masked_bigrams": f"WITH {SQL_BASE}, {_J} SELECT chunk_id, pattern, count(*) AS n FROM g GROUP BY ALL",
     "char_trigrams": f"WITH {SQL_BASE}, {_G} SELECT pattern, n FROM tri",
     "topk_other": f"WITH {SQL_BASE}, {_G}, r AS (SELECT *, row_number() OVER (ORDER BY n DESC, pattern) AS r, sum(n) OVER () AS total FROM tri) SELECT CASE WHEN r <= 300 THEN pattern ELSE '<other>' END AS pattern, round(sum(n) / CAST(any_value(total) AS DOUBLE), 6) AS share FROM r GROUP BY 1",
     "js_divergence": f"WITH {SQL_BASE}, {_J}, rc AS (SELECT pattern, count(*) AS n FROM g WHERE role = 'writer' GROUP BY 1), rr AS (SELECT *, row_number() OVER (ORDER BY n DESC, pattern) AS r, sum(n) OVER () AS t FROM rc), q AS (SELECT CASE WHEN r <= 300 THEN pattern ELSE '<other>' END AS pattern, sum(n) / CAST(any_value(t) AS DOUBLE) AS q FROM rr GROUP BY 1), s AS (SELECT chunk_id, CASE WHEN pattern IN (SELECT pattern FROM q) THEN pattern ELSE '<other>' END AS pattern, count(*) AS n FROM g WHERE role = 'draft' GROUP BY ALL), p AS (SELECT chunk_id, pattern, n / CAST(sum(n) OVER (PARTITION BY chunk_id) AS DOUBLE) AS p FROM s), x AS (SELECT c.chunk_id, coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM (SELECT chunk_id, pattern FROM (SELECT DISTINCT chunk_id FROM p) CROSS JOIN (SELECT pattern FROM q UNION SELECT pattern FROM p)) c LEFT JOIN p USING (chunk_id, pattern) LEFT JOIN q USING (pattern)) SELECT chunk_id, round(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2), 6) AS divergence FROM x GROUP BY chunk_id",
-    "ngram13_changed": rf"WITH {SQL_BASE}, w AS (SELECT doc_id, regexp_extract_all(replace(replace(lower(text), 'ß', 'ss'), '’', ''''), '{_W}') AS w FROM documents WHERE lang = 'en'), gr AS (SELECT doc_id, array_to_string(w[CAST(i AS BIGINT) : CAST(i + 12 AS BIGINT)], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)), p AS (SELECT a.doc_id AS pair FROM w a JOIN w b ON b.doc_id = a.doc_id + 5), c AS (SELECT gr.doc_id AS pair, count(*) AS grams, count(*) FILTER (b.g IS NULL) / CAST(count(*) AS DOUBLE) AS changed FROM gr LEFT JOIN (SELECT DISTINCT doc_id - 5 AS doc_id, g FROM gr) b ON b.doc_id = gr.doc_id AND b.g = gr.g GROUP BY 1) SELECT pair, grams, round(changed, 6) AS changed FROM p LEFT JOIN c USING (pair)",
+    "ngram13_changed": rf"WITH {SQL_BASE}, w AS (SELECT doc_id, regexp_extract_all(replace(replace(lower(text), 'ß', 'ss'), '’', ''''), '{_W}') AS w FROM documents), gr AS (SELECT doc_id, array_to_string(w[CAST(i AS BIGINT) : CAST(i + 12 AS BIGINT)], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)), p AS (SELECT a.doc_id AS pair FROM w a JOIN w b ON b.doc_id = a.doc_id + 5), c AS (SELECT gr.doc_id AS pair, count(*) AS grams, count(*) FILTER (b.g IS NULL) / CAST(count(*) AS DOUBLE) AS changed FROM gr LEFT JOIN (SELECT DISTINCT doc_id - 5 AS doc_id, g FROM gr) b ON b.doc_id = gr.doc_id AND b.g = gr.g GROUP BY 1) SELECT pair, grams, round(changed, 6) AS changed FROM p LEFT JOIN c USING (pair)",
     "pair_edits": "WITH d AS (SELECT doc_id AS id, md5(text) AS whole, source || '/' || length(text) AS stem FROM documents), o AS (SELECT * FROM d WHERE id % 2 = 0), a AS (SELECT whole, min(id) AS x FROM o GROUP BY 1 HAVING count(*) = 1), b AS (SELECT stem, min(id) AS y FROM o GROUP BY 1 HAVING count(*) = 1) SELECT id, coalesce(x, y) AS original, CASE WHEN x IS NOT NULL THEN 'whole' WHEN y IS NOT NULL THEN 'stem' END AS \"by\" FROM d LEFT JOIN a USING (whole) LEFT JOIN b USING (stem) WHERE id % 2 = 1",
 }
 QUERIES = {f.__name__: f for f in (dedup_documents, duplicate_pairs, window_pack, pool_conversations, pooling_rule, piece_sampling, stand_ins, group_quality, group_fields, masked_bigrams, char_trigrams, topk_other, js_divergence, ngram13_changed, pair_edits)}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import lexicon as lx
 from inkwell.functions.registry import registry
 from inkwell.operators import measure as m
+from inkwell.operators.vocabulary import vocabulary
 from inkwell.plans.base import SQL_BASE, SQL_VALUES, chunks, count_in, matches, per_1k, values
 
 
@@ -15,8 +16,8 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def _prep(spark: SparkSession, sf_dir: str, lang: str | None = "en") -> DataFrame:
-    return m.prepared(chunks(spark, sf_dir, lang))
+def _prep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.prepared(chunks(spark, sf_dir))
 
 
 def tokens_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,9 +30,9 @@ def sentence_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prep(spark, sf_dir).select("chunk_id", F.posexplode("lens").alias("pos", "n")).select("chunk_id", F.col("pos").cast("long").alias("pos"), "n")
 
 
-def _area(name: str, *areas: str, keep=None, lang: str | None = "en"):
+def _area(name: str, *areas: str, keep=None):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        got = m.wide(_prep(spark, sf_dir, lang), areas, ("chunk_id",))
+        got = m.wide(_prep(spark, sf_dir), areas, ("chunk_id",))
         return _rounded(got.select("chunk_id", *keep) if keep else got)
 
     query.__name__, query.__doc__ = name, f"Metrics of the areas {', '.join(areas)}."
@@ -42,36 +43,35 @@ SHAPE = ("sentence_words_mean", "sentence_words_median", "sentence_words_sd", "s
 sentence_shape = _area("sentence_shape", "sentence_shape", keep=SHAPE)
 rhythm = _area("rhythm", "rhythm")
 vocabulary_basic = _area("vocabulary_basic", "vocabulary", keep=("word_chars_mean", "long_words_pct"))
-mtld = _area("mtld", "vocabulary", keep=("mtld",), lang=None)
+mtld = _area("mtld", "vocabulary", keep=("mtld",))
 punctuation_rates = _area("punctuation_rates", "punctuation")
 voice_rates = _area("voice_rates", "voice", keep=("contractions_per_1k", "first_singular_per_1k", "first_plural_per_1k", "second_person_per_1k", "negations_per_1k", "hedges_per_1k", "boosters_per_1k", "llm_markers_per_1k", "not_just_but_per_1k", "and_but_so_openers_pct", "transition_openers_pct"))
-phrase_shapes = _area("phrase_shapes", "voice", "rhetoric", keep=("corrective_contrasts_per_1k", "parallel_triads_per_1k", "comma_series_per_1k", "semicolon_balances_per_1k", "colon_reveals_per_1k"), lang=None)
+phrase_shapes = _area("phrase_shapes", "voice", "rhetoric", keep=("corrective_contrasts_per_1k", "parallel_triads_per_1k", "comma_series_per_1k", "semicolon_balances_per_1k", "colon_reveals_per_1k"))
 emoji_bullets = _area("emoji_bullets", "social")
 edited_register = _area("edited_register", "register")
-paragraph_shape = _area("paragraph_shape", "size", "sentence_shape", keep=("words", "sentences", "paragraphs", "apostrophes", "paragraph_sentences_mean", "paragraph_words_mean", "one_sentence_paragraphs_pct"), lang=None)
+paragraph_shape = _area("paragraph_shape", "size", "sentence_shape", keep=("words", "sentences", "paragraphs", "apostrophes", "paragraph_sentences_mean", "paragraph_words_mean", "one_sentence_paragraphs_pct"))
 
 
 def mattr_100(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moving-average type/token ratio of chunks of 100 words or more."""
-    return _rounded(m.mattr(m.token_rows(_prep(spark, sf_dir))))
+    return _rounded(_prep(spark, sf_dir).select("chunk_id", vocabulary(F.col("tok"), ("mattr_100",))["mattr_100"].alias("mattr_100")).where("mattr_100 IS NOT NULL"))
 
 
 def hapax_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percent of word types used once in complete blocks of 100 words."""
-    return _rounded(m.hapax_share(m.token_rows(_prep(spark, sf_dir))))
+    return _rounded(_prep(spark, sf_dir).select("chunk_id", vocabulary(F.col("tok"), ("hapax_share_100",))["hapax_share_100"].alias("hapax_share_100")).where("hapax_share_100 IS NOT NULL"))
 
 
 def function_word_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rate of each of the 93 function words in each chunk, zeros included."""
-    prep = _prep(spark, sf_dir).select("chunk_id", "n", "tok")
-    counts = m.function_words(m.token_rows(prep)).groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("tok", "count"))).alias("fw"))
-    each = prep.where("n > 0").select("chunk_id", "n").join(counts, "chunk_id", "left").withColumn("word", F.explode(F.array(*map(F.lit, lx.FUNCTION_WORDS))))
-    return each.select("chunk_id", "word", F.round(F.coalesce(F.try_element_at("fw", F.col("word")), F.lit(0)) * (1000.0 / F.col("n")), 6).alias("rate"))
+    prep = _prep(spark, sf_dir).where("n > 0").select("chunk_id", "n", vocabulary(F.col("tok"), ("counts",), lx.FUNCTION_WORDS)["counts"].alias("counts"))
+    each = prep.select("chunk_id", "n", F.posexplode("counts").alias("at", "count"))
+    return each.select("chunk_id", F.element_at(F.array(*map(F.lit, lx.FUNCTION_WORDS)), F.col("at") + 1).alias("word"), F.round(F.col("count") * (1000.0 / F.col("n")), 6).alias("rate"))
 
 
 def language_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents of all languages are unlikely to be English."""
-    return m.prepared(chunks(spark, sf_dir, None)).select("chunk_id", m.unlikely_english().alias("unlikely"))
+    return _prep(spark, sf_dir).select("chunk_id", m.unlikely_english().alias("unlikely"))
 
 
 def metric_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,7 @@ def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 145 surface metrics of each document of any language, a column each."""
-    return _rounded(m.measured(_prep(spark, sf_dir, None)))
+    return _rounded(m.measured(_prep(spark, sf_dir)))
 
 
 _list = ", ".join(f"'{w}'" for w in lx.FUNCTION_WORDS)
@@ -108,7 +108,7 @@ SQL = {
     "mattr_100": f"WITH {SQL_BASE}, w AS (SELECT chunk_id, count(DISTINCT tok) AS d FROM (SELECT a.chunk_id, a.pos AS p, b.tok FROM (SELECT DISTINCT chunk_id, pos FROM toks) a JOIN toks b ON a.chunk_id = b.chunk_id AND b.pos BETWEEN a.pos AND a.pos + 99 JOIN words n ON n.chunk_id = a.chunk_id AND a.pos <= n.n - 100) GROUP BY chunk_id, p) SELECT chunk_id, round(avg(d) / 100, 6) AS mattr_100 FROM w GROUP BY chunk_id",
     "hapax_share": f"WITH {SQL_BASE}, c AS (SELECT chunk_id, pos // 100 AS b, tok, count(*) AS c FROM toks GROUP BY ALL), s AS (SELECT chunk_id, b, 100.0::DOUBLE * count(*) FILTER (c = 1) / count(*) AS share, sum(c) AS n FROM c GROUP BY ALL) SELECT chunk_id, round(avg(share), 6) AS hapax_share_100 FROM s WHERE n = 100 GROUP BY chunk_id",
     "function_word_rates": f"WITH {SQL_BASE}, c AS (SELECT chunk_id, tok, count(*) AS c FROM toks GROUP BY ALL), f AS (SELECT unnest([{_list}]) AS word) SELECT l.chunk_id, word, round(coalesce(c, 0) * (1000.0::DOUBLE / len(l.tok)), 6) AS rate FROM lists l CROSS JOIN f LEFT JOIN c ON c.chunk_id = l.chunk_id AND c.tok = word WHERE len(l.tok) > 0",
-    "language_check": f"WITH {SQL_BASE.replace(chr(32) + 'WHERE d.lang = ' + chr(39) + 'en' + chr(39), '')} SELECT chunk_id, len(tok) > 0 AND {matches(chr(92) + 'pL')} > 0 AND ({matches('[A-Za-z]')} < 0.5::DOUBLE * {matches(chr(92) + 'pL')} OR (len(tok) >= 50 AND len(list_filter(tok, lambda x: x IN ({_en}))) < 0.05::DOUBLE * len(tok))) AS unlikely FROM lists",
+    "language_check": f"WITH {SQL_BASE} SELECT chunk_id, len(tok) > 0 AND {matches(chr(92) + 'pL')} > 0 AND ({matches('[A-Za-z]')} < 0.5::DOUBLE * {matches(chr(92) + 'pL')} OR (len(tok) >= 50 AND len(list_filter(tok, lambda x: x IN ({_en}))) < 0.05::DOUBLE * len(tok))) AS unlikely FROM lists",
     "metrics_long": f"WITH {SQL_VALUES} SELECT chunk_id, document, role, words, grp, metric, round(value, 6) AS value FROM vals",
 }
 QUERIES = {f.__name__: f for f in (tokens_words, sentence_lengths, sentence_shape, paragraph_shape, rhythm, vocabulary_basic, mtld, punctuation_rates, voice_rates, phrase_shapes, emoji_bullets, edited_register, mattr_100, hapax_share, function_word_rates, language_check, metric_registry, metrics_long, all_metrics)}

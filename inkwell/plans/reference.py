@@ -6,27 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import stats
-from inkwell.operators import measure, reference as ref
-from inkwell.plans.base import SQL_VALUES, chunks, values
+from inkwell.operators import reference as ref
+from inkwell.plans.base import SQL_VALUES, SUBSET, as_long, measured
 from inkwell.plans.measure import _rounded
 from inkwell.sources.scratch import materialize
 
 
-def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reference's mean words, sentences and paragraphs a chunk."""
-    prep = measure.prepared(chunks(spark, sf_dir).where("role = 'writer'"))
-    return prep.agg(F.avg("n").alias("words"), F.avg(F.size("lens")).alias("sentences"), F.avg(F.size("prose.paragraphs")).alias("paragraphs"))
-
-
 class Setup:
     """What the queries share: values by role, the summary with floors, held-out z of writers, z of the others."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        rows = materialize(values(spark, sf_dir))
-        self.writer, self.contrast, self.drafts = (rows.where(F.col("role") == r).drop("role", "words") for r in ("writer", "contrast", "draft"))
-        self.words = rows.select("chunk_id", "role", "words").distinct()
+        rows = materialize(measured(spark, sf_dir))
+        values = as_long(rows)
+        self.writer, self.contrast, self.drafts = (values.where(F.col("role") == r).drop("role", "words") for r in ("writer", "contrast", "draft"))
+        self.words = rows.where(F.greatest(*[F.col(m).isNotNull() for m in SUBSET])).select("chunk_id", "role", "words")
         self.summary = stats.summary(self.writer, ("grp", "metric"))
-        self.floors = materialize(ref.floors(self.summary, counts(spark, sf_dir)))
+        counts = rows.where("role = 'writer'").agg(F.avg("words").alias("words"), F.avg("sentences").alias("sentences"), F.avg("paragraphs").alias("paragraphs"))
+        self.floors = materialize(ref.floors(self.summary, counts))
         self.z = materialize(ref.held_out_z(self.writer, self.floors))
         self.rms = ref.reliability(self.z)
         self.contrast_z = ref.z_against(self.contrast, self.floors)
@@ -123,7 +119,7 @@ def contrast_effects(s: Setup) -> DataFrame:
 @_query
 def effects_without(s: Setup) -> DataFrame:
     """Effects learned without each writer document."""
-    return ref.fold_without(s.z, s.contrast_z, "reference")
+    return ref.fold_without(s.z, s.contrast_z, "reference", every_metric=True)
 
 
 def _loo(s: Setup) -> DataFrame:

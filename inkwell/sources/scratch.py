@@ -2,21 +2,43 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 @lru_cache
 def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="inkwell-")
+    folder = tempfile.mkdtemp(prefix="inkwell-")
+    atexit.register(shutil.rmtree, folder, True)
+    return "file://" + folder
+
+
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own, gone when it ends; on a cluster
+    it is an error, as executors would write to disks of their own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (shared or _own_dir()).rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Survives lost executors. The folder is spark.checkpoint.dir, a local one where that is unset (tests)."""
+    """A table written under `folder` and read back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or _own_dir()).rstrip('/')}/inkwell/{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/inkwell/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.inkwell_path = path
+    return held
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.inkwell_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import stats
 from inkwell.functions.tokens import sentences, tokens
 from inkwell.operators import corpus, measure as m, patterns, reference as ref
+from inkwell.operators.vocabulary import vocabulary
 from inkwell.plans.measure import QUERIES
 
 
@@ -29,7 +30,7 @@ def test_mattr_golden_and_sliding_sets(spark):
     rng = random.Random(3)
     texts = [[f"w{i}" for i in range(120)], ["a", "b"] * 60, [rng.choice("abcdefgh") for _ in range(250)], ["x"] * 99]
     prep = m.prepared(spark.createDataFrame([(i, "d", " ".join(t)) for i, t in enumerate(texts)], "chunk_id long, document string, text string"))
-    got = {r.chunk_id: r.mattr_100 for r in m.mattr(m.token_rows(prep)).collect()}
+    got = {r.chunk_id: r.mattr_100 for r in prep.select("chunk_id", vocabulary(F.col("tok"))["mattr_100"].alias("mattr_100")).where("mattr_100 IS NOT NULL").collect()}
     want = {i: sum(len(set(t[k : k + 100])) for k in range(len(t) - 99)) / (len(t) - 99) / 100 for i, t in enumerate(texts) if len(t) >= 100}
     assert got == pytest.approx(want) and got[0] == 1.0 and got[1] == pytest.approx(0.02)
 
