@@ -1,12 +1,8 @@
-"""Shared pieces of the training-data operators: shared scratch tables, Arrow text buffers, connected components."""
+"""Shared pieces of the training-data operators: Arrow text buffers, connected components."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.sources import tables
+from inkwell.sources.scratch import discard, materialize
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes handled at once in a Python worker; a longer document is a slice of its own.
@@ -21,36 +20,7 @@ SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
-
-
-@lru_cache
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="inkwell-")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, and survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/inkwell/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    held = df.sparkSession.read.schema(df.schema).parquet(path)
-    held.inkwell_path = path
-    return held
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete materialized tables that nothing reads any more, and let go of the shuffles behind them."""
-    for t in tables:
-        jvm, hadoop = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(t.inkwell_path)
-        path.getFileSystem(hadoop).delete(path, True)
-    gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
+    return tables.spread(tables.table(spark, sf_dir, name))
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +45,19 @@ def slices(starts: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, i
         at = to
 
 
+def pieces(data: np.ndarray, starts: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, int, int]]:
+    """slices with their bytes, (first row, end row, low, high); a longer row comes in several pieces, cut between characters."""
+    for i, j in slices(starts, most):
+        low, end = int(starts[i]), int(starts[j])
+        while end - low > most:
+            high = low + most
+            while high > low + 1 and data[high] & 0xC0 == 0x80:
+                high -= 1
+            yield i, j, low, high
+            low = high
+        yield i, j, low, end
+
+
 def row_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of values[starts[i]:starts[i+1]] (along axis 0), 0 for empty rows."""
     out = np.zeros((len(starts) - 1, *values.shape[1:]), np.float64)
@@ -84,27 +67,28 @@ def row_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component), component the smallest reachable node.
 
-    Alternates large-star and small-star rounds: every round is joins and grouped minima, with map-side combine, so a
-    node with a third of all edges is an ordinary skewed join key. A round's edges are written to the shared folder.
+    Alternates large-star and small-star rounds until nothing changes (about the square of the longest path's logarithm):
+    every round is joins and grouped minima with map-side combine. The minima are dealt anew before a join, so both its
+    sides are plain shuffles and a node with a third of all edges is split by AQE like any skewed key. A round's edges are
+    written to the shared folder, the round's before are deleted.
     Nodes without edges are absent. Null ends and loops count as no edge; no edges give an empty table.
     """
-    spark = edges.sparkSession
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     seen = None
-    for _ in range(most_rounds):
+    while True:
         # Large star: larger neighbours of a node move to the smallest of its neighbourhood.
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("rebalance")
         large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         # Small star: smaller neighbours, and the node itself, move to the smallest of them.
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        low = large.groupBy("hi").agg(F.min("lo").alias("m")).hint("rebalance")
         moved = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        now = materialize(moved.union(low.select("hi", F.col("m").alias("lo"))).distinct())
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        before, now = now, materialize(moved.union(low.select("hi", F.col("m").alias("lo"))).distinct())
+        discard(before)
+        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         if seen == mark:
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
         seen = mark
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
