@@ -9,7 +9,10 @@ No source is sorted in one task: documents are summed by digits of their key (a
 one digit where the budget runs out are looked at closer, twice, before the rest are ordered.
 
 Null and empty texts have size 0 and take nothing; null sources are one source, last. Null and repeated ids are
-documents of their own; rows that repeat id and text tie, and are taken together. An empty table gives an empty result.
+documents of their own. Rows that repeat id and text tie: they count as one row with a number of copies, and where the
+budget runs out among them, as many copies are taken as come nearest to it (which ones can't be told apart). A very long
+text is counted whole in the scan. Columns of docs with names used here don't meet them. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import WORD, materialize
 
 RADIX = 4096
+#: Copies of one row written by one task at most, where a group of copies is taken in part.
+BLOCK = 1 << 16
 
 
 def quality(text: Column) -> Column:
@@ -71,10 +76,22 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most_epochs: int
     first = materialize(first.join(goals, "k").where(meets).select("k", F.col("d").alias("e1"), F.col("before").alias("b1"), "rest"))
     second = rows.join(first, "k").where("d1 = e1").groupBy("k", F.col("d2").alias("d")).agg(F.sum("size").alias("s"), F.first("e1").alias("e1"), F.first("b1").alias("b1"), F.first("rest").alias("rest"))
     second = materialize(second.withColumn("before", F.col("b1") + F.sum("s").over(run) - F.col("s")).where(meets).select("k", "e1", F.col("d").alias("e2"), F.col("before").alias("b2"), "rest"))
+    # Rows alike in key and tie are one group of c copies; m of them fit.
     ordered = Window.partitionBy("k").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    third = rows.join(second, "k").where("d1 = e1 AND d2 = e2").withColumn("before", F.col("b2") + F.sum("size").over(ordered) - F.col("size"))
-    cut = third.where(F.col("before") + F.col("size") / 2 <= F.col("rest")).groupBy("k").agg(F.max(F.struct("key", "tie")).alias("cut"))
+    third = rows.join(second, "k").where("d1 = e1 AND d2 = e2").groupBy("k", "key", "tie").agg(F.count("*").alias("c"), *[F.first(c).alias(c) for c in ("doc_id", "size", "b2", "rest")])
+    third = third.withColumn("before", F.col("b2") + F.sum(F.col("c") * F.col("size")).over(ordered) - F.col("c") * F.col("size"))
+    fits = F.when(F.col("size") > 0, F.least("c", F.floor((F.col("rest") - F.col("before") - F.col("size") / 2) / F.col("size")) + 1)).otherwise(F.col("c"))
+    cut = third.where(F.col("before") + F.col("size") / 2 <= F.col("rest")).groupBy("k").agg(F.max(F.struct("key", "tie", "c", fits.alias("m"), "doc_id", "size")).alias("cut"))
     plan = materialize(goals.join(second.select("k", "e1", "e2"), "k", "left").join(cut, "k", "left"))
-    within = (F.col("d1") < F.col("e1")) | ((F.col("d1") == F.col("e1")) & ((F.col("d2") < F.col("e2")) | ((F.col("d2") == F.col("e2")) & (F.struct("key", "tie") <= F.col("cut")))))
-    copies = F.col("epochs") + F.when(F.coalesce(within, F.lit(False)), 1).otherwise(0)
-    return rows.join(plan, "k").select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("int").alias("epochs"))
+
+    last = F.coalesce((F.col("key") == F.col("cut.key")) & (F.col("tie") == F.col("cut.tie")), F.lit(False))
+    ahead = (F.col("key") < F.col("cut.key")) | ((F.col("key") == F.col("cut.key")) & (F.col("tie") <= F.col("cut.tie")))
+    within = (F.col("d1") < F.col("e1")) | ((F.col("d1") == F.col("e1")) & ((F.col("d2") < F.col("e2")) | ((F.col("d2") == F.col("e2")) & ahead)))
+    whole = rows.join(plan, "k").where(~(last & (F.col("cut.m") < F.col("cut.c")))).withColumn("more", F.coalesce(within, F.lit(False)))
+    # A group that is taken in part: its copies are written anew, in blocks, as nothing tells one from another.
+    parted = plan.where("cut.m < cut.c").select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("cut.c") - 1) / BLOCK))).alias("block")).repartition("k", "block")
+    parted = parted.withColumn("at", F.explode(F.sequence(F.col("block") * BLOCK, F.least("cut.c", (F.col("block") + 1) * BLOCK) - 1))).withColumn("more", F.col("at") < F.col("cut.m"))
+    fields = ("source_size", "target", "epochs", "more")
+    every = whole.select("doc_id", "size", *fields).unionByName(parted.select("cut.doc_id", "cut.size", *fields))
+    copies = F.col("epochs") + F.col("more").cast("int")
+    return every.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("int").alias("epochs"))
