@@ -5,7 +5,9 @@ other byte a word end). The mean runs over the whole text. As everything after t
 embeddings and the softmax weights into one table of a few columns and sums its rows.
 
 Nulls and texts without a letter are `und` with score 0 and are rejected. Rows repeat, tie and miss ids freely: each
-row is predicted by its text alone. Null labels are never learned; without labelled rows every text is `und`.
+row is predicted by its text alone, copies are learned once. A very long text is read whole, in slices. Null labels are
+never learned; without labelled rows every text is `und`, and an empty table gives an empty result. Other columns, of
+whatever names, aren't read.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import row_sums, slices, utf8
+from inkwell.llm.common import pieces, row_sums, utf8
 
 UND = "und"
 BITS = 14
@@ -57,6 +59,15 @@ def _buckets(data: np.ndarray, starts: np.ndarray):
         yield h
 
 
+def _sliced(data: np.ndarray, starts: np.ndarray):
+    """First and end row, buckets of the n-grams that start there, and where each row starts, slice by slice."""
+    for i, j, low, high in pieces(data, starts):
+        end = min(high + 3, int(starts[j]))
+        own = np.clip(starts[i : j + 1], low, end) - low
+        for h in _buckets(data[low:end], own):
+            yield i, j, h[: high - low], own
+
+
 def _has_letter(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Whether each document has a letter of any script."""
     ascii_letter = np.zeros(256, bool)
@@ -85,11 +96,8 @@ class LanguageModel:
             return [UND] * n, np.zeros(n)
         rows = np.c_[self.folded, np.r_[np.ones(len(self.folded) - 1), 0]].astype(np.float32)
         sums = np.zeros((n, k + 1))
-        for i, j in slices(starts):
-            own = starts[i : j + 1] - starts[i]
-            part = data[starts[i] : starts[j]]
-            for h in _buckets(part, own):
-                sums[i:j] += row_sums(rows[h], np.minimum(own, len(h)))
+        for i, j, h, own in _sliced(data, starts):
+            sums[i:j] += row_sums(rows[h], np.minimum(own, len(h)))
         logits = (sums[:, :k] / np.maximum(sums[:, k:], 1) + self.bias) / self.temperature
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
@@ -99,31 +107,36 @@ class LanguageModel:
 
 
 def _sample(df: DataFrame, per_language: int) -> DataFrame:
-    """About so many rows of each language, chosen by a hash of the text: rows with text and label columns."""
-    labelled = df.where("label IS NOT NULL AND text IS NOT NULL")
-    share = {r["label"]: min(1.0, per_language / r["n"]) for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    """Texts with their labels, `per_language` different texts of each label at most: those with the least hashes.
+
+    A share of hashes that holds about twice as many is read first, copies meet before the shuffle, and a rank among
+    what is left sets the bound, so neither a label's rows nor a text's copies are one task's work.
+    """
+    rows = df.where("label IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    share = {r["label"]: min(1.0, 2 * per_language / r["n"]) for r in rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not share:
-        return labelled.limit(0)
+        return rows.select("label", "text").limit(0)
     odds = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))])
-    return labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(odds, F.col("label")) * (1 << 20))
+    few = rows.where(F.pmod("h", F.lit(1 << 40)) < F.element_at(odds, F.col("label")) * (1 << 40)).groupBy("label", "h").agg(F.first("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.pmod("h", F.lit(1 << 40)), "h"))
+    return few.withColumn("rank", rank).where(F.col("rank") <= per_language).select("label", "text")
 
 
 def _counted(batches):
-
     for batch in batches:
         data, starts = utf8(batch.column(batch.schema.get_field_index("text")))
         label = batch.column(batch.schema.get_field_index("label")).to_pylist()
         for i, x in enumerate(label):
             n = np.zeros((1 << BITS) + 1, np.int64)
             own = data[starts[i] : starts[i + 1]]
-            for h in _buckets(own, np.array([0, len(own)])):
+            for _, _, h, _ in _sliced(own, np.array([0, len(own)])):
                 n += np.bincount(h, minlength=len(n))
             ids = np.flatnonzero(n[:-1])
             yield pa.RecordBatch.from_pydict({"label": [x], "ids": [ids.astype(np.int32)], "n": [n[ids].astype(np.int32)]}, pa.schema([("label", pa.string()), ("ids", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))]))
 
 
 def fit(df: DataFrame, text: str | Column, label: str | Column, per_language: int = 400, dim: int = 12, epochs: int = 6, rate: float = 0.5, lost: float = 0.001, most_floor: float = 0.4, seed: int = 7) -> LanguageModel:
-    """Learn from a bounded sample, about `per_language` rows for each label (the only bound; their texts are read whole).
+    """Learn from a bounded sample, `per_language` different texts of each label at most (the only bound; they are read whole).
 
     A quarter of the sample is kept out of SGD for calibration: the temperature that minimizes log loss, and the floor
     of confidence that `lost` of correctly predicted texts fall below (`most_floor` at most).
