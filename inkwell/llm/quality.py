@@ -17,39 +17,47 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import utf8
+from inkwell.llm.common import SLICE_BYTES, utf8
 
 BITS = 16
+#: Bytes of a word that its hash tells.
+LONGEST = 64
+_POWERS = np.cumprod(np.full(LONGEST, 0x01000193, np.uint32), dtype=np.uint32)
 
 
-def _features(own: np.ndarray) -> np.ndarray:
-    """Buckets present in one text, ascending."""
-    flags = np.zeros(1 << BITS, bool)
-    if not len(own):
-        return np.flatnonzero(flags)
-    flags[own] = True
-    b = own.astype(np.uint32)
-    for n, odd in ((2, 0x9E3779B1), (3, 0x85EBCA6B), (4, 0xC2B2AE35)):
-        if len(b) >= n:
-            packed = b[: len(b) - n + 1].copy()
-            for k in range(1, n):
-                packed = (packed << np.uint32(8)) | b[k : len(b) - n + 1 + k]
-            flags[(packed * np.uint32(odd)) >> np.uint32(32 - BITS)] = True
-    # A word's hash is its bytes' prefix polynomial, differenced at its ends.
+def _words(part: np.ndarray, low: np.ndarray, count: int) -> np.ndarray:
+    """Hashes of the words that start in bytes 1 to count of a view (byte 0 is the one before): prefix polynomials of their first LONGEST bytes."""
+    starts = np.flatnonzero(part[1:] & ~part[:-1]) + 1
+    own = int(np.searchsorted(starts, count, "right"))
+    if not own:
+        return np.empty(0, np.uint32)
+    at = np.arange(len(part)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(part)]))
+    mixed = np.where(part & (at < LONGEST), low * _POWERS[np.minimum(at, LONGEST - 1)], np.uint32(0))
+    return np.add.reduceat(mixed, starts, dtype=np.uint32)[:own]
+
+
+def _features(text: np.ndarray) -> np.ndarray:
+    """Buckets present in one text, ascending. The text is read in slices, so that its length costs no memory."""
+    flags, before = np.zeros(1 << BITS, bool), np.empty(0, np.uint32)
     with np.errstate(over="ignore"):
-        low = b | np.uint32(0x20)
-        part = ((low >= 97) & (low <= 122)) | (b >= 128)
-        edge = np.flatnonzero(np.diff(np.r_[False, part, False].astype(np.int8)))
-        starts, ends = edge[::2], edge[1::2]
-        if len(starts):
-            power = np.cumprod(np.full(64, 0x01000193, np.uint32), dtype=np.uint32)
-            mixed = low * power[np.minimum(np.arange(len(b)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(b)])), 63)]
-            words = np.add.reduceat(np.where(part, mixed, 0), starts, dtype=np.uint32)
+        for a in range(0, len(text), SLICE_BYTES):
+            count = min(SLICE_BYTES, len(text) - a)
+            b = text[a : a + count + 3].astype(np.uint32)
+            flags[b[:count]] = True
+            for n, odd in ((2, 0x9E3779B1), (3, 0x85EBCA6B), (4, 0xC2B2AE35)):
+                if len(b) >= n:
+                    packed = b[: len(b) - n + 1].copy()
+                    for k in range(1, n):
+                        packed = (packed << np.uint32(8)) | b[k : len(b) - n + 1 + k]
+                    flags[(packed * np.uint32(odd)) >> np.uint32(32 - BITS)] = True
+            view = text[max(a - 1, 0) : a + count + LONGEST]
+            view = view if a else np.r_[np.uint8(32), view]
+            low = view | np.uint8(0x20)
+            words = _words(((low >= 97) & (low <= 122)) | (view >= 128), low.astype(np.uint32), count)
             flags[(words * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS)] = True
-            # A pair of equal words is one n-gram whatever the word; reserved buckets tell how often it comes.
-            twice = np.count_nonzero(words[1:] == words[:-1])
-            flags[:3] |= [twice > 0, twice * 10 > len(words), twice * 3 > len(words)]
+            words = np.r_[before, words]
             flags[((words[:-1] * np.uint32(31) + words[1:]) * np.uint32(0x165667B1)) >> np.uint32(32 - BITS)] = True
+            before = words[-1:]
     return np.flatnonzero(flags)
 
 
@@ -68,7 +76,6 @@ class QualityModel:
 
 
 def _listed(batches):
-
     for batch in batches:
         data, starts = utf8(batch.column(batch.schema.get_field_index("text")))
         label = batch.column(batch.schema.get_field_index("label")).to_pylist()
