@@ -36,8 +36,7 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark, whole or edited."""
-    blocks = decontaminate.fit(docs, table(spark, sf_dir, "benchmark"))
-    return docs.where(F.size(decontaminate.found(blocks, F.col("text"))) == 0)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

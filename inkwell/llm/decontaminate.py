@@ -7,28 +7,36 @@ locally (match 2, mismatch -1, gap -1) and the best score, as a share of the ite
 copy loses 1.5 points of 100 for each percent of its words replaced. A copy without one intact n-gram isn't seen.
 
 The items are a stated query set: they are read in blocks of bounded size, each matched against all documents, and only
-a block's tables are on the driver and sent to executors. Items with under `least_words` words are too short to tell and
-match nothing, as do null items and null or empty texts. Equal items are all reported. Each row is a document.
+one block's tables are on the driver and sent to executors at a time. Items with under `least_words` words must be there
+word for word; those with under n words have no seed and match nothing, as do null items and null or empty texts. Equal
+items are all reported. Each row is a document, also one that repeats an id or has none. A very long text is read whole.
+Bytes that aren't UTF-8 count as a replacement character. Empty tables give empty results. Columns with names used here
+don't meet them.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.common import materialize
+
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 _CUT = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 FOUND = "array<struct<item_id:long,score:double,seeds:int,start:int,end:int>>"
 _FOUND = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("seeds", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def words(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").translate(_CUT).split()
+def words(text: bytes) -> list[bytes]:
+    return text.decode("utf-8", "replace").lower().encode("utf-8", "surrogatepass").translate(_CUT).split()
 
 
 def align(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
@@ -50,6 +58,7 @@ class Block:
     """Items of a block: ids, word ids (0: none of its words), sorted codes of n-grams, and for each code its (item, offset) places."""
 
     n: int
+    least_words: int
     ids: list[int | None]
     vocabulary: dict[bytes, int]
     items: list[np.ndarray]
@@ -59,11 +68,11 @@ class Block:
     place_at: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple[int | None, str]], n: int, least_words: int) -> Block:
+    def of(cls, rows: list[tuple[int | None, bytes]], n: int, least_words: int) -> Block:
         vocabulary: dict[bytes, int] = {}
-        kept = [(i, w) for i, t in rows if t is not None and len(w := words(t)) >= max(n, least_words)]
+        kept = [(i, w) for i, t in rows if t is not None and len(w := words(t)) >= n]
         items = [np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in w], np.int64) for _, w in kept]
-        block = cls(n, [i for i, _ in kept], vocabulary, items, np.empty(0, np.uint64), np.empty(0, int), np.empty(0, int), np.empty(0, int))
+        block = cls(n, least_words, [i for i, _ in kept], vocabulary, items, np.empty(0, np.uint64), np.empty(0, int), np.empty(0, int), np.empty(0, int))
         if items:
             coded = [block.coded(x) for x in items]
             codes = np.concatenate(coded)
@@ -88,7 +97,7 @@ class Block:
                 inside &= ids[j : j + k] > 0
         return np.where(inside, code, np.uint64(2**64 - 1))
 
-    def read(self, text: str) -> np.ndarray:
+    def read(self, text: bytes) -> np.ndarray:
         get = self.vocabulary.get
         w = words(text)
         return np.fromiter((get(x, 0) for x in w), np.int64, len(w))
@@ -103,7 +112,7 @@ class Block:
         good = self.codes[where] == code[some]
         return some[good], where[good]
 
-    def matches(self, text: str, least: float) -> list[dict]:
+    def matches(self, text: bytes, least: float) -> list[dict]:
         ids = self.read(text)
         at, code = self.hits(ids)
         if not len(at):
@@ -125,37 +134,55 @@ class Block:
                 score, ex, ey = align(x, ids[low : starts[b] + len(x) + half])
                 best = max(best, (score, ex, low + ey))
             share = best[0] / (2 * len(x))
-            if share >= least:
+            if share >= (least if len(x) >= self.least_words else 1):
                 low = max(0, best[2] - 3 * len(x))
                 back = align(x[: best[1]][::-1], ids[low : best[2]][::-1])
                 out.append({"item_id": self.ids[item[i]], "score": share, "seeds": int(j - i), "start": int(best[2] - back[2]), "end": int(best[2])})
         return out
 
 
-def fit(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, least_words: int = 8) -> list:
-    """Broadcast blocks of items with their seeds."""
-    spark: SparkSession = docs.sparkSession
-    rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
-    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-    blocks = max(1, math.ceil(size["n"] / BLOCK_ITEMS), math.ceil(size["chars"] / BLOCK_BYTES))
-    out = []
-    for k in range(blocks):
-        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        block = Block.of(sorted(((r[0], r[1]) for r in own), key=lambda r: (r[0] is None, r[0], r[1])), n, least_words)
+def blocks(items: DataFrame, item_id: str = "item_id", item_text: str = "text", n: int = 3, least_words: int = 8) -> Iterator[tuple[Broadcast, bool]]:
+    """Blocks of items with their seeds, sent to executors one after the other, and whether a block is the only one.
+
+    A block is let go of when the next is asked for: what reads it has to be written by then.
+    """
+    rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("binary").alias("text")).where("text IS NOT NULL")
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("bytes")).first()
+    count = max(1, math.ceil(size["n"] / BLOCK_ITEMS), math.ceil(size["bytes"] / BLOCK_BYTES))
+    for k in range(count):
+        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).collect()
+        block = Block.of(sorted(((r[0], bytes(r[1])) for r in own), key=lambda r: (r[0] is None, r[0], r[1])), n, least_words)
         if block.items:
-            out.append(spark.sparkContext.broadcast(block))
-    return out
+            shared = items.sparkSession.sparkContext.broadcast(block)
+            yield shared, count == 1
+            if count > 1:
+                shared.unpersist()
+
+
+def found(shared: Broadcast, text: Column, least: float = 0.5) -> Column:
+    """The items of a block that a text holds: an array of (item_id, score, seeds, start, end), start and end in words."""
+
+    @F.arrow_udf(FOUND)
+    def matched(column: pa.Array) -> pa.Array:
+        block = shared.value
+        return pa.array([block.matches(t, least) if (t := x.as_py()) else [] for x in column.cast(pa.binary())], _FOUND)
 
+    return matched(text)
 
-def found(blocks: list, text: Column, least: float = 0.5) -> Column:
-    """The items that a text holds: an array of (item_id, score, seeds, start, end), start and end in words."""
 
-    def one(shared) -> Column:
-        @F.arrow_udf(FOUND)
-        def matched(column: pa.Array) -> pa.Array:
-            block = shared.value
-            return pa.array([block.matches(t, least) if (t := x.as_py()) else [] for x in column], _FOUND)
+def passages(docs: DataFrame, items: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", least: float = 0.5, **chosen) -> DataFrame:
+    """A row (keep, item_id, score, seeds, start, end) for each document and item that it holds."""
+    parts = []
+    for shared, alone in blocks(items, **chosen):
+        part = docs.select(*keep, F.explode(found(shared, F.col(text), least)).alias("m")).select(*keep, "m.*")
+        parts.append(part if alone else materialize(part))
+    none = docs.select(*keep, F.explode(F.array().cast(FOUND)).alias("m")).select(*keep, "m.*")
+    return reduce(DataFrame.unionByName, parts) if parts else none
 
-        return matched(text)
 
-    return F.concat(*map(one, blocks)) if blocks else F.array().cast(FOUND)
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", least: float = 0.5, **chosen) -> DataFrame:
+    """The documents that hold no item."""
+    for shared, alone in blocks(items, **chosen):
+        docs = docs.where(F.size(found(shared, F.col(text), least)) == 0)
+        docs = docs if alone else materialize(docs)
+    return docs

@@ -35,10 +35,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of the benchmark in all documents, edited copies too: a row for each document and item."""
-    docs = table(spark, sf_dir, "documents")
-    blocks = decontaminate.fit(docs, table(spark, sf_dir, "benchmark"))
-    got = docs.select("doc_id", F.explode(decontaminate.found(blocks, F.col("text"))).alias("m"))
-    return got.select("doc_id", "m.item_id", "m.score", "m.start", "m.end")
+    return decontaminate.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("seeds")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
