@@ -2,13 +2,16 @@
 
 Every bit of a fingerprint is the majority over the XXH64 of all word shingles. Distinct fingerprints only are
 compared; documents come back by their fingerprint. Fingerprints within `bits` differing bits share all but `bits` of
-any `bits + 2` blocks, hence two blocks: each pair of blocks is a bucket key (exact, no pair is lost). In a bucket a
+any `bits + 2` blocks, hence two blocks: each pair of blocks is a bucket key (exact, no pair is lost; three of `bits + 3`
+blocks or four of `bits + 4` where there are many fingerprints, exact as well). In a bucket a
 table of distances to pivot fingerprints is computed; two fingerprints whose distances to any pivot differ by more than
 `bits` can't be near (triangle inequality) and are discarded, survivors are verified on the fingerprints. Buckets send
 on spanning forests of their links, not the links; distributed components join them.
 
 Null and empty texts have fingerprint zero and link like any other. Null ids take part; a component's id is its
-smallest id that isn't null, null without one. Rows that repeat an id are documents of their own.
+smallest id that isn't null, null without one. Rows that repeat an id are documents of their own. A very long text is
+read whole, its hashes summed in blocks. Columns of docs with names used here don't meet them. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -54,14 +57,12 @@ def fingerprints(text: Column, size: int = 4) -> Column:
     return fingerprint(text)
 
 
-def _block_keys(bits: int) -> Column:
-    """Keys of each pair of bits + 2 blocks of the column fp: an array of longs."""
-    n = bits + 2
+def _block_keys(bits: int, chosen: int) -> Column:
+    """Keys of each choice of `chosen` of bits + chosen blocks of the column fp: an array of longs."""
+    n = bits + chosen
     edge = [64 * i // n for i in range(n + 1)]
     part = [F.shiftrightunsigned(F.col("fp"), edge[i]).bitwiseAND(F.lit((1 << (edge[i + 1] - edge[i])) - 1)) for i in range(n)]
-    pairs = list(combinations(range(n), 2))
-    width = max(edge[i + 1] - edge[i] for i in range(n))
-    return F.array(*[(F.lit(k) * (1 << 2 * width)) + part[i] * (1 << width) + part[j] for k, (i, j) in enumerate(pairs)])
+    return F.array(*[F.xxhash64(F.lit(k), *[part[i] for i in choice]) for k, choice in enumerate(combinations(range(n), chosen))])
 
 
 def _near(bits: int, pivots: int):
@@ -100,13 +101,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return linked(own, bits, pivots, block)
 
 
-def linked(own: DataFrame, bits: int = 4, pivots: int = 16, block: int = 1024) -> DataFrame:
-    """own: doc_id, fp and others. Adds fingerprint (hex) and component_id."""
-    classes = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    keyed = classes.select("fp", F.explode(_block_keys(bits)).alias("key"))
+def linked(own: DataFrame, bits: int = 4, pivots: int = 16, block: int = 1024, chosen: int | None = None) -> DataFrame:
+    """own: doc_id, fp and others. Adds fingerprint (hex) and component_id. chosen: blocks of a key, by the number of fingerprints unless given."""
+    classes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    # Two, three or four blocks of a key, as buckets of fewer would fill up. Any choice finds every pair.
+    chosen = chosen or 2 + sum(classes.count() > n for n in (1 << 24, 1 << 30))
+    keyed = classes.select("fp", F.explode(_block_keys(bits, chosen)).alias("key"))
     links = grouped(dealt(keyed, "fp", block).select("key", "pair", "own", "fp")).mapInArrow(_near(bits, pivots), "a long, b long")
     parts = components(links)
-    named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = materialize(classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    least = materialize(named.groupBy("component").agg(F.min("first").alias("component_id")))
     named = materialize(named.join(least, "component").select("fp", "component_id"))
     return own.join(named, "fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
