@@ -3,11 +3,14 @@
 Three base kinds are matched as regular expressions (assign, access, hex). Besides, any run of 20 or more token
 characters that mixes digits with upper and lower case is a candidate. Hashes of all candidate values, base ones
 included, are counted over the whole corpus by distinct repositories (here: documents) and owners (here: sources). A
-value that over `most_owners` owners hold is a copied example; the others belong to an owner and look live. The method
-adds the live candidates as spans of kind `key`; base spans stay whatever their counts.
-
-Offsets are code points, end exclusive. Null texts count as empty. Null owners are one owner. Each row is a document,
-also one that repeats an id or has none. A candidate that overlaps a base span isn't one of its own.
+value that over `most_owners` owners or over `most_repositories` repositories hold is a copied example (of a tutorial, of
+a template that one owner deals out); the others belong to an owner and look live. The method adds the live candidates
+as spans of kind `key`; base spans stay whatever their counts.
+
+Offsets are code points, end exclusive; bytes that aren't UTF-8 count as a replacement character. Null texts count as
+empty, a very long text is scanned whole. Null owners are one owner. Each row is a document, also one that repeats an id
+or has none. A candidate that overlaps a base span isn't one of its own. Other columns, of whatever names, aren't read. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -81,7 +84,7 @@ def _scanned(batches):
         for i, j in slices(starts):
             own = starts[i : j + 1] - starts[i]
             for k in np.flatnonzero(_worth_a_look(data[starts[i] : starts[j]], own)) + i:
-                spans = scan_text(data[starts[k] : starts[k + 1]].tobytes().decode())
+                spans = scan_text(data[starts[k] : starts[k + 1]].tobytes().decode("utf-8", "replace"))
                 if spans:
                     own_base = [(s, kind, e) for s, kind, e, _ in spans if kind < 3]
                     for _, kind, _ in own_base:
@@ -92,7 +95,7 @@ def _scanned(batches):
         yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)).cast(_SCHEMA.field(c).type) for c in ("doc_id", "owner")] + [pa.array(c) for c in counts] + [pa.array(base), pa.array(sha), pa.array(found, _SCHEMA.field("found").type)], schema=_SCHEMA)
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", most_owners: int = 2) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", most_owners: int = 2, most_repositories: int = 100) -> DataFrame:
     """Rows (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, found) of all documents.
 
     n_live and n_example count the document's values, base ones included, by ownership; found lists every value's kind,
@@ -105,7 +108,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     owners = by_owner.groupBy("value").agg(F.count("*").alias("owners"))
     repos = each.select("value", "row").distinct().groupBy("value").agg(F.count("*").alias("repositories"))
     known = materialize(owners.join(repos, "value"))
-    judged = each.join(known, "value").withColumn("live", F.col("owners") <= most_owners)
+    judged = each.join(known, "value").withColumn("live", (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories))
     lists = judged.groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value", "owners", "repositories", "live"))).alias("found"),
     )

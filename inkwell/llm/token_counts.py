@@ -49,7 +49,7 @@ def _packed(ranks, end: int, block_tokens: int, dtype: str):
             for at, to in slices(starts):  # a slice's tokens are sent on before the next slice's are made
                 parts = [rest]
                 for i, j in zip(starts[at:to], starts[at + 1 : to + 1]):
-                    parts.append(np.array([*tokenizer.encode_ordinary(data[i:j].tobytes().decode()), end], dtype))
+                    parts.append(np.array([*tokenizer.encode_ordinary(data[i:j].tobytes().decode("utf-8", "replace")), end], dtype))
                 rest = np.concatenate(parts)
                 whole, n = len(rest) // block_tokens, to - at
                 yield pa.RecordBatch.from_pydict({"file": [file] * (whole + n), "block": [*range(block, block + whole), *[None] * n], "tokens": [rest[k * block_tokens : (k + 1) * block_tokens].tobytes() for k in range(whole)] + [None] * n, "ordinal": [None] * whole + [*range(ordinal, ordinal + n)], "doc_id": [None] * whole + ids[at:to].to_pylist()}, _PACKED)
