@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from inkwell.llm import decontaminate, line_templates, mixing, secret_scan, suffix_dedup, token_counts
-from inkwell.llm.common import components, row_sums, slices
+from inkwell.llm import decontaminate, embed_dedup, langid, line_templates, mixing, quality, queries, secret_scan, simhash, suffix_dedup, token_counts
+from inkwell.llm.common import components, pieces, row_sums, slices
+from tests.conftest import same_as_sql
 from tests.llm.conftest import prose
 from tests.llm.test_queries import digest, joined, removed
 
@@ -67,8 +70,11 @@ def test_decontamination_of_edited_copies(spark):
     words = item.split()
     edited = " ".join("changed" if i % 6 == 5 else w for i, w in enumerate(words))
     docs = spark.createDataFrame([(1, f"{prose(80, 7)} {item.upper()}! {prose(30, 8)}"), (2, f"{prose(300, 9)} {edited} end"), (3, prose(400, 10)), (4, None), (5, ""), (6, " ".join(words[:5]))], "doc_id long, text string")
-    blocks = decontaminate.fit(docs, spark.createDataFrame([(10, item), (11, item), (12, None), (13, "short one")], "item_id long, text string"))
-    got = {r.doc_id: {m.item_id: m.score for m in r.m} for r in docs.select("doc_id", decontaminate.found(blocks, docs.text).alias("m")).collect()}
+    items = spark.createDataFrame([(10, item), (11, item), (12, None), (13, "short one"), (14, " ".join(words[2:6]))], "item_id long, text string")
+    got = {i: {} for i in range(1, 7)}
+    for m in decontaminate.passages(docs, items).collect():
+        got[m.doc_id][m.item_id] = m.score
+    assert {i for i, m in got.items() if m.pop(14, 0) == 1} == {1}  # an item of four words must be there word for word
     assert got[1] == {10: 1.0, 11: 1.0} and set(got[2]) == {10, 11} and 0.5 < got[2][10] < 1
     assert not got[3] and not got[4] and not got[5] and not got[6]
 
@@ -82,8 +88,7 @@ def test_decontamination_of_copies_with_many_edits(spark, copies):
     coded = lambda t: np.array([number.setdefault(w, len(number)) for w in t.split()])
     want = {i for (i, t), (_, e) in zip(items, edited) if decontaminate.align(coded(t), coded(e))[0] >= 40}
     docs = spark.createDataFrame(edited, "doc_id long, text string").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    blocks = decontaminate.fit(docs, spark.createDataFrame(items, "item_id long, text string"))
-    got = docs.select("doc_id", decontaminate.found(blocks, docs.text).item_id.alias("m")).where(F.array_contains("m", F.col("doc_id")))
+    got = decontaminate.passages(docs, spark.createDataFrame(items, "item_id long, text string")).where("item_id = doc_id")
     assert len(want) > 20 and {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()} == dict.fromkeys(want, copies)
 
 
@@ -156,3 +161,175 @@ def test_slices_and_row_sums(sizes):
     assert [i for a, b in cut for i in range(a, b)] == list(range(len(sizes)))
     values = np.arange(starts[-1], dtype=float)
     assert row_sums(values, starts).tolist() == [values[a:b].sum() for a, b in zip(starts[:-1], starts[1:])]
+
+
+def test_decontamination_equals_alignment_of_all_pairs(spark, monkeypatch):
+    """Seed-free Smith-Waterman of every item and document: with an intact 3-gram, nothing is lost and nothing added; in several blocks of items too."""
+    random = np.random.default_rng(8)
+    items = [(i, " ".join(f"w{x}" for x in random.integers(0, 300, int(random.integers(8, 30))))) for i in range(25)]
+    docs = []
+    for d in range(60):
+        noise = [f"w{x}" for x in random.integers(0, 300, 40)]
+        words = items[d % 25][1].split()
+        edited = [w if random.random() > (d % 5) * 0.12 else f"x{k}" for k, w in enumerate(words)]
+        docs.append((d, " ".join(noise[:20] + edited + noise[20:]) if d % 3 else " ".join(noise)))
+    number: dict[str, int] = {}
+    coded = lambda t: np.array([number.setdefault(w, len(number)) for w in t.split()])
+    want, seeded = {}, set()
+    for d, t in docs:
+        grams = set(zip(*[t.split()[k:] for k in range(3)]))
+        for i, x in items:
+            score = decontaminate.align(coded(x), coded(t))[0] / (2 * len(x.split()))
+            if score >= 0.5:
+                want[d, i] = score
+                if grams & set(zip(*[x.split()[k:] for k in range(3)])):
+                    seeded.add((d, i))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.passages(*frames).collect()}
+    assert len(want) >= 25 and set(got) == seeded and len(seeded) >= 0.97 * len(want)
+    assert all(got[k] == pytest.approx(want[k]) for k in got)
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 6)
+    assert {(r.doc_id, r.item_id): r.score for r in decontaminate.passages(*frames).collect()} == got
+    assert {r.doc_id for r in decontaminate.clean(*frames).collect()} == {d for d, _ in docs} - {d for d, _ in got}
+
+
+def test_vectors_of_different_lengths_never_link(spark):
+    random = np.random.default_rng(2)
+    rows = [(i, random.standard_normal(4096 if i % 2 else 5003)) for i in range(8)]
+    rows += [(100 + i, v + 0.001) for i, v in rows]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")).collect()}
+    assert got == {i + 100 * k: (1, i) for i in range(8) for k in (0, 1)}
+
+
+@pytest.mark.parametrize("planes", [2, 8, 16])
+def test_recall_of_links_at_the_threshold(spark, planes):
+    """Pairs planted at a cosine just over 0.9: the tables miss 0.002 of them."""
+    random = np.random.default_rng(planes)
+    a = random.standard_normal((400, 24))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = random.standard_normal((400, 24))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near = 0.901 * a + (1 - 0.901**2) ** 0.5 * b
+    vectors = np.concatenate([a, near])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>"), planes=planes).collect()}
+    assert all(got[i] <= links[i] for i in got) and sum(got.values()) >= 0.99 * links.sum() and links.sum() >= 800
+
+
+@pytest.mark.parametrize("chosen", [2, 3, 4])
+def test_block_keys_find_every_near_fingerprint(spark, chosen):
+    random = np.random.default_rng(chosen)
+    base = random.integers(0, 2**63, 60).tolist()
+    fps = base + [x ^ sum(1 << int(b) for b in random.choice(63, int(random.integers(1, 7)), replace=False)) for x in base]
+    root = joined(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+    got = {r.doc_id: r.component_id for r in simhash.linked(spark.createDataFrame(list(enumerate(fps)), "doc_id long, fp long"), chosen=chosen).collect()}
+    assert got == dict(enumerate(root))
+
+
+def test_the_sample_of_languages_keeps_its_bound(spark):
+    copies = spark.range(15_000).select(F.lit("same text over and over").alias("text"), F.lit("en").alias("label"))
+    others = spark.range(5_000).select(F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("en").alias("label"))
+    few = spark.range(30).select(F.concat(F.lit("texte "), F.col("id")).alias("text"), F.lit("fr").alias("label"))
+    got = {r.label: r["count"] for r in langid._sample(copies.union(others).union(few), 400).groupBy("label").count().collect()}
+    assert got == {"en": 400, "fr": 30}
+
+
+def test_language_scores_equal_a_plain_mean(spark):
+    """Prediction of one text by a dictionary of n-grams, and of a text longer than a slice by the same."""
+    rows = [(f"{['el perro come en la casa', 'the dog eats in the house'][i % 2]} {prose(5, i)}", ["es", "en"][i % 2]) for i in range(60)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    for text in ("el perro y la casa", "The dog", "niño año ÁRBOL", "the dog eats in the house " * 40_000):
+        folded = langid._folded(np.frombuffer(text.encode(), np.uint8)).tobytes()
+        sums, n = np.zeros(len(model.languages)), 0
+        counts: dict[tuple[int, bytes], int] = {}
+        for size in (3, 4):
+            for i in range(len(folded) - size + 1):
+                gram = folded[i : i + size]
+                if b" " not in gram[1:-1]:
+                    counts[size, gram] = counts.get((size, gram), 0) + 1
+        for (size, gram), c in counts.items():
+            h = (int.from_bytes(gram, "big") * (0x9E3779B1 if size == 3 else 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - langid.BITS)
+            sums += c * model.folded[h].astype(float)
+            n += c
+        z = (sums / n + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        data = np.frombuffer(text.encode(), np.uint8)
+        lang, score = model.predict(data, np.array([0, len(data)]))
+        assert lang == [model.languages[int(p.argmax())]] and score[0] == pytest.approx(p.max(), abs=1e-4)
+
+
+def plain_features(text: bytes) -> set[int]:
+    """Buckets by a plain loop over all n-grams and words."""
+    top = lambda x: (x & 0xFFFFFFFF) >> (32 - quality.BITS)
+    found = set(text)
+    for n, odd in ((2, 0x9E3779B1), (3, 0x85EBCA6B), (4, 0xC2B2AE35)):
+        found |= {top(int.from_bytes(text[i : i + n], "big") * odd) for i in range(len(text) - n + 1)}
+    hashes = []
+    for w in re.findall(rb"[A-Za-z\x80-\xff]+", text):
+        h = 0
+        for k, b in enumerate(w[: quality.LONGEST]):
+            h += (b | 0x20) * pow(0x01000193, k + 1, 1 << 32)
+        hashes.append(h & 0xFFFFFFFF)
+    return found | {top(h * 0x27D4EB2F) for h in hashes} | {top((a * 31 + b & 0xFFFFFFFF) * 0x165667B1) for a, b in zip(hashes, hashes[1:])}
+
+
+@pytest.mark.parametrize("most", [1 << 19, 7, 100])
+def test_quality_features_equal_a_plain_loop(monkeypatch, most):
+    monkeypatch.setattr(quality, "SLICE_BYTES", most)
+    for text in (b"", b"a", "The quick été, the Quick! 12 x".encode(), prose(60, 4).encode(), b"y" * 300 + b" end"):
+        assert set(quality._features(np.frombuffer(text, np.uint8)).tolist()) == plain_features(text)
+
+
+def test_tied_rows_take_what_comes_nearest(spark, tmp_path):
+    """400 rows that repeat one id and text, a target inside them: the mix and its SQL agree."""
+    rows = [(7, "same words again and again " * 20, "en", "a", 1)] * 400 + [(100 + i, prose(20 + i % 30, i), "en", "b", 1) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op7_mix_sources(spark, str(tmp_path))
+    same_as_sql(got, queries.SQL["op7_mix_sources"], str(tmp_path))
+    tied = got.where("doc_id = 7").collect()
+    assert len(tied) == 400 and len({r.taken for r in tied}) == 2
+    assert abs(sum(r.taken for r in tied) - tied[0].target) <= tied[0].size
+
+
+def test_added_secrets_equal_brute_force(spark):
+    """Candidates and their counts by repositories and owners, by a plain loop over all texts."""
+    import random
+
+    rng = random.Random(12)
+    token = lambda: "".join(rng.choice("abcXYZ019") for _ in range(24)) + "aZ9"
+    owned, shared, template = [token() for _ in range(6)], [token() for _ in range(3)], token()
+    rows = []
+    for i in range(160):
+        own = [owned[i % 6]] if i % 40 < 6 else []
+        own += [rng.choice(shared)] if i % 3 == 0 else []
+        own += [template] if i % 160 < 130 else []
+        rows.append((i, " ".join([prose(4, i), *own, "end"]), f"owner {i % 6}" if i < 130 and i % 3 else f"owner {i % 5}"))
+    where: dict[str, tuple[set, set]] = {}
+    spans = {}
+    for i, t, o in rows:
+        spans[i] = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", t) if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])]
+        for _, _, v in spans[i]:
+            docs, owners = where.setdefault(v, (set(), set()))
+            docs.add(i)
+            owners.add(o)
+    want = {i: ",".join(f"key:{a}:{b}" for a, b, v in s if len(where[v][1]) <= 3 and len(where[v][0]) <= 100) for i, s in spans.items()}
+    got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), most_owners=3).collect()}
+    assert got == want and any(want.values()) and any(spans[i] and not want[i] for i in want)
+
+
+def test_bytes_that_are_not_utf8(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, CAST(X'66FF6F206261722062617A' AS STRING) AS text, 'a' AS source")
+    assert secret_scan.scan(docs).count() == 1
+    assert decontaminate.passages(docs, docs.select(F.lit(1).alias("item_id"), "text")).first().score == 1
+    assert [w for w in decontaminate.words(b"f\xffo bar")] == ["f\ufffdo".encode(), b"bar"]
+
+
+def test_pieces_cut_long_rows_between_characters():
+    texts = ["ab", "é" * 40, "", "xyz" * 9]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    starts = np.cumsum([0, *[len(t.encode()) for t in texts]])
+    got = list(pieces(data, starts, 15))
+    assert b"".join(data[low:high].tobytes() for _, _, low, high in got) == data.tobytes()
+    assert all(high - low <= 15 for _, _, low, high in got) and "".join(data[low:high].tobytes().decode() for _, _, low, high in got) == "".join(texts)

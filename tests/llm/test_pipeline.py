@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from inkwell.llm.common import materialize
-from tests.llm.test_queries import joined, simhash
+from tests.llm.test_queries import joined
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,13 +34,6 @@ def test_language_rejects_what_has_no_letter(stages):
     assert kept <= lettered and len(kept) >= 0.97 * len(lettered)
 
 
-def test_near_duplicates_leave_one_of_each_group(stages):
-    rows = sorted((r.doc_id, r.text) for r in stages[2].collect())
-    fp = [simhash(t) for _, t in rows]
-    root = joined(len(fp), [(i, j) for i in range(len(fp)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 4])
-    assert {r.doc_id for r in stages[3].collect()} == {rows[i][0] for i in set(root)}
-
-
 def shingles(text):
     words = text.encode().lower().split()
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
