@@ -260,14 +260,14 @@ def repeated_windows(docs: DataFrame, span: int = 200) -> DataFrame:
     wanted, found = [(_bitmap(counts.where("n > 1").select(F.col("core").alias("h"))), None)], []
     for level in range(3):
         nodes = materialize(text.mapInArrow(_emitted(span, level, wanted), f"core long, whole long, key long, id {kind}, mark long, first long, last long"))
-        met = nodes.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min("key").alias("key"))
+        # Written out, so that a join with it is between plain shuffles and AQE splits a union that a third of all nodes have.
+        met = materialize(nodes.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min("key").alias("key")))
         if level < 2:
-            met = materialize(met)
             # Of a core with several unions, one node of each union goes down a level.
             several = met.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
             wanted = wanted + [(_bitmap(several.select(F.col("core").alias("h"))), _bitmap(met.join(several, "core", "left_semi").select(F.col("key").alias("h"))))]
         found.append(materialize(nodes.join(met.where("n > 1").select("core", "whole"), ["core", "whole"]).select("id", "mark", "first", "last")))
-        discard(nodes, *[met] * (level < 2))
+        discard(nodes, met)
     return found[0].union(found[1]).union(found[2])
 
 
