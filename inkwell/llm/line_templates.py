@@ -6,8 +6,10 @@ share a template whose variable field is that quarter: each line has four such t
 fewer than four remain). A template recurs if `least_docs` documents or more carry it; its lines are dropped from every
 document but the first that carries it (the smallest id).
 
-Lines of under `least_tokens` tokens, and those without any, have no template and stay. Null texts stay null, with no lines; an empty text is one
-empty line. Null ids come first. Rows that repeat both id and text are one document here and keep or lose the same lines.
+Lines of under `least_tokens` tokens, and those without any, have no template and stay; a line of one or two tokens is
+its own template. Null texts stay null, with no lines; an empty text is one empty line. Null ids come first. Rows that
+repeat both id and text are one document here and keep or lose the same lines. A very long text is a row like any other.
+Columns of docs with names used here don't meet them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -54,13 +56,15 @@ def dropped_lines(docs: DataFrame, doc_id: str, text: str, least_docs: int, leas
     return later.groupBy("id", "mark").agg(F.array_sort(F.collect_set("i")).alias("dropped"))
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_docs: int = 5, least_tokens: int = 3, counts: tuple[str, str] = ("lines_before", "lines_dropped")) -> DataFrame:
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_docs: int = 5, least_tokens: int = 1, counts: tuple[str, str] = ("lines_before", "lines_dropped")) -> DataFrame:
     """The documents, with recurring lines gone from text, and the columns of `counts` added; columns of these names give way."""
-    drops = materialize(dropped_lines(docs, doc_id, text, least_docs, least_tokens)).withColumnsRenamed({"id": "__id", "mark": "__mark", "dropped": "__dropped"})
-    found = docs.join(drops, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")), "left")
-    lines, gone = _lines(F.col(text)), F.coalesce("__dropped", F.array().cast("array<int>"))
+    drops = materialize(dropped_lines(docs, doc_id, text, least_docs, least_tokens)).alias("__drops")
+    found = docs.alias("__docs").join(drops, F.col(f"__docs.{doc_id}").eqNullSafe(F.col("__drops.id")) & (F.xxhash64(f"__docs.{text}") == F.col("__drops.mark")), "left")
+    body, gone = F.col(f"__docs.{text}"), F.coalesce("__drops.dropped", F.array().cast("array<int>"))
+    lines = _lines(body)
     # Runs of kept lines between dropped ones.
     runs = F.zip_with(F.concat(F.array(F.lit(-1)), gone), F.concat(gone, F.array(F.size(lines))), lambda a, b: F.slice(lines, a + 2, b - a - 1))
-    kept = F.when(F.col("__dropped").isNull(), F.col(text)).otherwise(F.array_join(F.flatten(runs), "\n"))
-    before = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
-    return found.withColumns({counts[0]: before, counts[1]: F.size(gone), text: kept}).drop("__dropped", "__id", "__mark")
+    kept = F.when(F.col("__drops.dropped").isNull(), body).otherwise(F.array_join(F.flatten(runs), "\n"))
+    before = F.when(body.isNull(), 0).otherwise(F.size(lines))
+    own = [kept.alias(c) if c == text else F.col(f"__docs.{c}") for c in docs.columns if c not in counts]
+    return found.select(*own, before.alias(counts[0]), F.size(gone).alias(counts[1]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +25,13 @@ def op2_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), 200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-#: A byte-level BPE vocabulary as ranks, read on the driver.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: A byte-level BPE vocabulary as ranks, read on the driver; a path of the environment comes first.
+TOKENIZER = os.environ.get("INKWELL_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
-def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op3_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """All documents as flat token files; the tokens of each, found by separators alone."""
-    blocks, order = token_counts.flat_files(table(spark, sf_dir, "documents"), token_counts.read_ranks(TOKENIZER), end=50256)
+    blocks, order = token_counts.flat_files(table(spark, sf_dir, "documents"), token_counts.read_ranks(tokenizer), end=50256)
     return order.join(token_counts.count(blocks, 50256), ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
@@ -45,14 +47,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines whose templates recur in 5 documents or more."""
-    got = line_templates.line_dedup(table(spark, sf_dir, "documents"), least_docs=5, least_tokens=3)
+    got = line_templates.line_dedup(table(spark, sf_dir, "documents"), least_docs=5, least_tokens=1)
     return got.select("doc_id", F.col("lines_before").cast("long").alias("n_lines"), F.col("lines_dropped").cast("long").alias("n_dropped"), F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 
 OP6_SQL = r"""
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
 m AS (SELECT doc_id, text, i, list_filter(string_split(regexp_replace(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' '), lambda x: x <> '') AS t FROM l),
-n AS (SELECT *, len(t) AS n, len(t) - 2 AS r FROM m WHERE len(t) >= 3),
+n AS (SELECT *, len(t) AS n, len(t) - 2 AS r FROM m WHERE len(t) >= 1),
 k AS (
   SELECT doc_id, text, i, n || '/' || j || '/' || array_to_string(t[1:2], ' ') || '/' ||
          array_to_string(list_transform(range(4), lambda p: CASE WHEN p = j THEN '' ELSE array_to_string(t[3 + r * p // 4 : 2 + r * (p + 1) // 4], ' ') END), '/') AS key
