@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import stats
 from inkwell.functions.tokens import WORD
+from inkwell.operators.ranges import DELTA_FLOOR, LIKENESS_FLOOR
 
 SPAN, ALPHA, TAIL_SHARE, LEAST_TAIL, LEAST_DOCUMENTS, LEVEL_SHARE, MINIMUM = 100, 0.05, 0.1, 20, 10, 0.9, 1.0
 
@@ -29,33 +32,43 @@ def paragraphs(docs: DataFrame, key: str = "chunk_id", text: str = "text", separ
     return each.select(key, pos.alias("pos"), (F.col("line") + 1).alias("line"), "words", excerpt(F.col("text")).alias("excerpt"), "text")
 
 
+_SPANS = "array<struct<a1:int,b1:int,a2:int,b2:int>>"
+
+
+def _spans(sizes: list[int], length: int) -> list[tuple[int, int, int, int]] | None:
+    sums = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    n = len(sizes)
+    if not n or sums[-1] < length:
+        return None
+    at = np.arange(n)
+    # Ends ahead and starts behind by binary search in the sums; n + 1 and -1 where the text runs out.
+    ahead = np.searchsorted(sums, sums[:-1] + length)
+    behind = np.searchsorted(sums, sums[1:] - length, "right") - 1
+    last, first = int(np.searchsorted(sums, sums[-1] - length, "right")) - 1, int(np.searchsorted(sums, length))
+    a1, b1 = np.where(ahead <= n, at, last), np.where(ahead <= n, ahead, n)
+    a2, b2 = np.where(behind >= 0, behind, 0), np.where(behind >= 0, at + 1, first)
+    size = np.r_[np.asarray(sizes, float), np.inf]
+    before, after = np.where(a1 > 0, size[np.maximum(a1 - 1, 0)], np.inf), size[np.minimum(b1, n)]
+    same = (a1 == a2) & (b1 == b2)
+    left, right = same & (before < after), same & (before >= after) & np.isfinite(after)
+    return np.stack([a1, b1, a2 - left, b2 + right], axis=1).tolist()
+
+
 def plan(sizes: Column, length: int = SPAN) -> Column:
     """For each paragraph of an array of word counts its two spans: array of struct(a1, b1, a2, b2), ends exclusive, null under `length` words.
 
     The shortest run of whole paragraphs from it on that holds `length` words, and the shortest back from it; where the
     text runs out, the text's last or first such run. Two equal spans become two by one more paragraph, the smaller
-    neighbour. Prefix sums tell runs by a search; no state is carried.
+    neighbour. Runs are found by binary search in prefix sums.
     """
-    n = F.size(sizes)
-    sums = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    total = F.element_at(sums, -1)
-    at = lambda i: F.try_element_at(sums, i + 1)
-    size = lambda i: F.try_element_at(sizes, i + 1)
-    ends = F.sequence(F.lit(1), n)
-    ahead = lambda i: F.array_min(F.filter(ends, lambda j: (j > i) & (at(j) - at(i) >= length)))
-    behind = lambda j: F.array_max(F.filter(F.transform(ends, lambda x: x - 1), lambda i: (i < j) & (at(j) - at(i) >= length)))
-    first, last = F.struct(F.lit(0).alias("a"), ahead(F.lit(0)).alias("b")), F.struct(behind(n).alias("a"), n.alias("b"))
-
-    def sides(i: Column) -> Column:
-        one = F.when(ahead(i).isNotNull(), F.struct(i.alias("a"), ahead(i).alias("b"))).otherwise(last)
-        two = F.when(behind(i + 1).isNotNull(), F.struct(behind(i + 1).alias("a"), (i + 1).alias("b"))).otherwise(first)
-        before, after = F.when(one["a"] > 0, size(one["a"] - 1)), F.when(one["b"] < n, size(one["b"]))
-        left = before.isNotNull() & (after.isNull() | (before < after))
-        wide = F.when(left, F.struct((one["a"] - 1).alias("a"), one["b"].alias("b"))).when(after.isNotNull(), F.struct(one["a"].alias("a"), (one["b"] + 1).alias("b"))).otherwise(one)
-        two = F.when((one["a"] == two["a"]) & (one["b"] == two["b"]), wide).otherwise(two)
-        return F.struct(*[x.cast("int").alias(k) for k, x in (("a1", one["a"]), ("b1", one["b"]), ("a2", two["a"]), ("b2", two["b"]))])
-
-    return F.when((n > 0) & (total >= length), F.transform(F.sequence(F.lit(0), n - 1), sides))
+    kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("a1", "b1", "a2", "b2")]))
+
+    @F.arrow_udf(_SPANS)
+    def planned_spans(column: pa.Array) -> pa.Array:
+        rows = [_spans(x or [], length) for x in column.to_pylist()]
+        return pa.array([r and [dict(zip(("a1", "b1", "a2", "b2"), p)) for p in r] for r in rows], kind)
+
+    return planned_spans(sizes)
 
 
 def planned(parts: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -106,6 +119,39 @@ def limit(tail: dict[str, float], count: Column, alpha: float = ALPHA) -> Column
     return F.when(chance >= tail["share"], F.lit(tail["threshold"])).otherwise(tail["threshold"] + scale * F.log(tail["share"] / chance))
 
 
+def judged_spans(scores: DataFrame) -> DataFrame:
+    """scores: judged, delta, p95, likeness and l_p95 (null without a contrast set). Adds by and relative: the score over its
+    bound, of likeness where it has a range at the span's length, else of delta; null where the span isn't judged."""
+    good = F.coalesce(F.col("judged") & F.col("p95").isNotNull() & F.col("delta").isNotNull(), F.lit(False))
+    liked = good & F.col("l_p95").isNotNull() & F.col("likeness").isNotNull()
+    relative = F.when(liked, F.col("likeness") / F.greatest("l_p95", F.lit(LIKENESS_FLOOR))).otherwise(F.col("delta") / F.greatest("p95", F.lit(DELTA_FLOOR)))
+    return scores.withColumns({"by": F.when(liked, "likeness").otherwise("delta"), "relative": F.when(good, relative)})
+
+
+def calibrated(statistic: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """The null of held-out reference documents, each read in parts: one row (documents, paragraphs, median, high, count, threshold, share, scale).
+
+    A paragraph on two spans has its document's level and an excess over it: the spread of the levels, and the tail of
+    the excess. All but counts are null under LEAST_DOCUMENTS documents, the tail where it can't be fit.
+    """
+    own = levels(statistic, key)
+    excess = statistic.where("spans = 2").join(own, key).select((F.col("relative") - F.col("level")).alias("value"))
+    size = statistic.agg(F.count_distinct(key).alias("documents"), F.count("*").alias("paragraphs"))
+    spread = stats.nearest_rank(own.withColumnRenamed("level", "value").withColumn("__one", F.lit(1)), ("__one",), {"median": F.lit(0.5), "high": F.lit(LEVEL_SHARE)}).drop("__one")
+    got = size.join(spread, F.lit(True), "left").join(fit_tail(excess), F.lit(True), "left")  # one row each
+    enough = F.col("documents") >= LEAST_DOCUMENTS
+    return got.select("documents", "paragraphs", *[F.when(enough, F.col(c)).alias(c) for c in ("median", "high", "count", "threshold", "share", "scale")])
+
+
+def traits(z: DataFrame, values: DataFrame, summary: DataFrame, keep: tuple[str, ...] = ("chunk_id", "pos"), k: int = 3) -> DataFrame:
+    """(keep, grp, metric, z, value, reference, rank): what sets a paragraph apart, the largest z (over `scale` if z has one), zeros left out."""
+    scaled = F.col("z") / (F.col("scale") if "scale" in z.columns else F.lit(1.0))
+    rank = F.row_number().over(Window.partitionBy(*keep).orderBy(F.desc(F.abs("z")), "grp", "metric"))
+    top = z.withColumn("z", scaled).withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("z") != 0))
+    got = top.join(values.select(*keep, "grp", "metric", "value"), [*keep, "grp", "metric"], "left").join(summary.select("grp", "metric", F.col("mean").alias("reference")), ["grp", "metric"], "left")
+    return got.select(*keep, "grp", "metric", "z", "value", "reference", "rank")
+
+
 def flags(statistic: DataFrame, plans: DataFrame, level_high: float, tail: dict[str, float] | None, key: str = "chunk_id") -> DataFrame:
     """(key, pos, relative, spans, limit, drifts): paragraphs on two spans over their document's limit, unless a stronger one explains them.
 

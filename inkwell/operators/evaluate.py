@@ -64,3 +64,33 @@ def interval(resamples: DataFrame, share: float = 0.95) -> DataFrame:
     """One row (low, high): nearest ranks of resampled values."""
     tail = (1 - share) / 2
     return stats.nearest_rank(resamples.withColumnRenamed("auc", "value"), (), {"low": F.lit(tail), "high": F.lit(1 - tail)})
+
+
+def fold_scores(reference_z: DataFrame, contrast_z: DataFrame, edited_z: DataFrame) -> DataFrame:
+    """(chunk_id, document, likeness) of edited chunks, under the fold learned without their original; document is the original's.
+
+    A chunk whose document has no fold has a null likeness, never one from a fold that saw it.
+    """
+    scored = ref.likeness(edited_z, ref.fold_without(reference_z, contrast_z, "contrast", every_metric=True))
+    return edited_z.select("chunk_id", "document").distinct().join(scored, ["chunk_id", "document"], "left")
+
+
+def auc_confidence(scores: DataFrame, resamples: int = 200, seed: int = 1, share: float = 0.95) -> DataFrame:
+    """scores: score, positive, document. One row (auc, low, high, method, resamples, reference_documents, contrast_documents).
+
+    method is exact where no resample can differ (the sides don't overlap, or there is one score), bootstrap, or null with
+    no interval where a side has under two documents.
+    """
+    rows = scores.where("score IS NOT NULL")
+    side = lambda f, p: f(F.when(F.col("positive") == F.lit(p), F.col("score")))
+    told = rows.agg(
+        F.count_distinct(F.when(~F.col("positive"), F.col("document"))).alias("reference_documents"), F.count_distinct(F.when(F.col("positive"), F.col("document"))).alias("contrast_documents"),
+        side(F.min, True).alias("pl"), side(F.max, True).alias("ph"), side(F.min, False).alias("nl"), side(F.max, False).alias("nh"),
+    )
+    fixed = (F.col("pl") > F.col("nh")) | (F.col("ph") < F.col("nl")) | ((F.col("pl") == F.col("nh")) & (F.col("ph") == F.col("nl")))
+    method = F.when((F.col("reference_documents") >= 2) & (F.col("contrast_documents") >= 2), F.when(fixed, "exact").otherwise("bootstrap"))
+    own = stats.auc(rows)
+    drawn = interval(bootstrap_auc(rows, resamples, seed), share)
+    got = told.withColumn("method", method).crossJoin(own).join(drawn, F.lit(True), "left")  # one row each
+    bound = lambda c: F.when(F.col("method") == "exact", F.col("auc")).when(F.col("method") == "bootstrap", F.col(c)).alias(c)
+    return got.select("auc", bound("low"), bound("high"), "method", F.when(F.col("method") == "bootstrap", resamples).otherwise(0).alias("resamples"), "reference_documents", "contrast_documents")

@@ -168,3 +168,36 @@ def masked_bigrams(rows: DataFrame, key: str = "chunk_id") -> DataFrame:
 def trigrams(prep: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(key, pattern): character trigrams of the prose text."""
     return prep.select(key, F.explode(char_trigrams(F.col("t"))).alias("pattern"))
+
+
+#: Patterns with what they read (text, or that with straight apostrophes) and what of a match's start isn't counted.
+_SPACES = r"^[^\S\r\n]*"
+SPANS = {
+    "commas": ("t", ",", None), "semicolons": ("t", ";", None), "colons": ("t", ":", None), "parentheses": ("t", r"\(", None), "questions": ("t", r"\?", None), "exclamations": ("t", "!", None),
+    "em_dashes": ("t", lx.EM_DASHES, None), "ellipses": ("t", lx.ELLIPSES, None), "hedges": ("plain", lx.HEDGES, None), "boosters": ("plain", lx.BOOSTERS, None), "llm_markers": ("plain", lx.LLM_MARKERS, None),
+    "not_just_but": ("plain", lx.NOT_JUST_BUT, None), "corrective_contrasts": ("plain", lx.CORRECTIVE_CONTRASTS, r"(?i)^[^\S\r\n]*(?:(?:and|but|so)[^\S\r\n]+)?"), "parallel_triads": ("t", lx.PARALLEL_TRIADS, _SPACES),
+    "comma_series": ("t", lx.COMMA_SERIES, _SPACES), "semicolon_balances": ("t", lx.SEMICOLON_BALANCES, _SPACES), "colon_reveals": ("t", lx.COLON_REVEALS, _SPACES),
+}
+
+
+def match_spans(prep: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(key, metric, start, end, text): every match of the counting patterns in the prose text, in characters, ends exclusive.
+
+    Matches and the gaps between them alternate, so offsets are the summed lengths of both.
+    """
+    def of(column: str, pattern: str, lead: str | None) -> Column:
+        found = F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(0))
+        pairs = F.arrays_zip(F.slice(F.split(column, pattern, -1), 1, F.size(found)).alias("gap"), found.alias("hit"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+
+        def step(s: Column, x: Column) -> Column:
+            begin, skip = s["at"] + F.length(x["gap"]), F.length(F.regexp_extract(x["hit"], lead, 0)) if lead else F.lit(0)
+            end = begin + F.length(x["hit"])
+            one = F.struct((begin + skip).alias("start"), end.alias("end"), F.substr(x["hit"], skip + 1, F.length(x["hit"])).alias("text"))
+            return F.struct(end.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+
+        return F.when(F.size(found) > 0, F.aggregate(pairs, start, step)["out"])
+
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), of(*v).alias("s")) for m, v in SPANS.items()])
+    rows = prep.select(key, F.explode(each).alias("m")).select(key, "m.metric", F.explode("m.s").alias("s"))
+    return rows.select(key, "metric", "s.*")

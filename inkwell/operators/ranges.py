@@ -6,6 +6,8 @@ so many words fall in. There are a few rows an area, so they are broadcast; chun
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,27 +27,64 @@ def single_pieces(texts: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     return texts.select("*", F.explode(own).alias("length"))
 
 
+def _cuts(sizes: list[int], blocks: list[int], length: int, inside: float) -> list[int]:
+    starts = np.r_[0, np.cumsum(sizes)].astype(float)
+    count = round(starts[-1] / length)
+    if count < 2 or 2 * starts[-1] < 3 * length:
+        return []
+    extra = np.r_[0.0, np.where(np.diff(blocks) == 0, inside, 0.0)]
+    cuts = [0]
+    for part in range(1, count):
+        free = np.arange(cuts[-1] + 1, len(sizes))
+        if not len(free):
+            break
+        cuts.append(int(free[np.argmin(np.abs(starts[free] - part * starts[-1] / count) + extra[free])]))
+    return cuts
+
+
 def cut_points(units: Column, length: int, excerpts: bool = False) -> Column:
     """Where units (array of struct(n, block)) start pieces of about `length` words; empty under one and a half pieces.
 
     round(words / length) pieces of equal share, each cut at the nearest unit; unless `excerpts`, a cut inside a block
     counts a quarter of a piece further.
     """
-    starts = F.aggregate(units, F.array(F.lit(0).cast("long")), lambda a, u: F.concat(a, F.array(F.element_at(a, -1) + u["n"])))
-    total = F.element_at(starts, -1)
-    count = F.bround(total / F.lit(float(length))).cast("int")
 
-    def cost(i: Column, target: Column) -> Column:
-        inside = F.try_element_at(units, i + 1)["block"] == F.try_element_at(units, i)["block"]
-        return F.abs(F.try_element_at(starts, i + 1) - target) + F.when(inside, F.lit(0.0 if excerpts else 0.25 * length)).otherwise(0.0)
+    @F.arrow_udf("array<int>")
+    def cut(column: pa.Array) -> pa.Array:
+        rows = [x or [] for x in column.to_pylist()]
+        return pa.array([_cuts([u["n"] for u in r], [u["block"] for u in r], length, 0.0 if excerpts else 0.25 * length) if r else [] for r in rows], pa.list_(pa.int32()))
+
+    return cut(units)
 
-    def step(cuts: Column, part: Column) -> Column:
-        first = F.element_at(cuts, -1) + 1
-        some = F.when(first < F.size(units), F.transform(F.sequence(first, F.size(units) - 1), lambda i: F.struct(cost(i, part * total / count).alias("c"), i.alias("i"))))
-        return F.when(some.isNull(), cuts).otherwise(F.concat(cuts, F.array(F.array_min(some)["i"])))
 
-    cuts = F.aggregate(F.sequence(F.lit(1), F.greatest(count - 1, F.lit(1))), F.array(F.lit(0)), step)
-    return F.when((count >= 2) & (total * 2 >= 3 * length), cuts).otherwise(F.array().cast("array<int>"))
+def _whole(sizes: list[int], length: int) -> list[tuple[int, int, bool]]:
+    """Runs (first, end, to cut) of whole texts that are pieces."""
+    out, start, count = [], 0, 0
+    for i, n in enumerate([*sizes, None]):
+        if n is None or n >= length or (i > start and count + n > length):
+            if i > start and 2 * count >= length:
+                out.append((start, i, False))
+            start, count = i, 0
+        if n is not None and n >= length:
+            out.append((i, i + 1, 2 * n >= 3 * length))
+            start = i + 1
+        elif n is not None:
+            count += n
+    return out
+
+
+def whole_parts(sizes: Column, length: int) -> Column:
+    """Pieces of a pooled window along the texts it was joined from, of their sizes in order: array of struct(first, last, cut), ends exclusive.
+
+    A piece is a run of whole texts of up to `length` words, or one longer text, which is cut by cut_points at one and a
+    half pieces. A run under half a piece is none.
+    """
+
+    @F.arrow_udf("array<struct<first:int,last:int,cut:boolean>>")
+    def whole(column: pa.Array) -> pa.Array:
+        return pa.array([[dict(zip(("first", "last", "cut"), p)) for p in _whole(x or [], length)] for x in column.to_pylist()], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("cut", pa.bool_())])))
+
+    return whole(sizes)
 
 
 def by_length(pieces: DataFrame) -> DataFrame:
@@ -111,6 +150,12 @@ def pooled_ceiling(floor: float) -> Column:
     return F.greatest(F.when(F.count("mean") == 1, F.max("p95")).otherwise(many), F.lit(floor))
 
 
+def mean_ceiling(mean: Column, p95: Column, similarity: Column, count: Column, floor: float) -> Column:
+    """pooled_ceiling of `count` equal ranges."""
+    n, s = F.greatest(count, F.lit(1)), F.greatest(p95 - mean, F.lit(0.0))
+    return F.greatest(F.when(n == 1, p95).otherwise(mean + s * F.sqrt(similarity + (1 - similarity) / n)), F.lit(floor))
+
+
 def delta_level(delta: Column, ceiling: Column) -> Column:
     """0 to 3 by one, one and a half and two ceilings; fixed steps without a ceiling."""
     fixed = F.when(delta < 1.0, 0).when(delta < 1.5, 1).when(delta < 2.5, 2).otherwise(3)

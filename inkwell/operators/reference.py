@@ -6,6 +6,8 @@ sums, both grouped aggregates, so nothing is recomputed for each document and no
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,3 +156,22 @@ def deviations(z: DataFrame, k: int = 8) -> DataFrame:
     """(chunk_id, grp, metric, z, rank): a chunk's largest differences, ties by metric."""
     rank = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc(F.abs("z")), "grp", "metric"))
     return z.withColumn("rank", rank).where(F.col("rank") <= k).select("chunk_id", *_KEY, "z", "rank")
+
+
+def capped(z: DataFrame, areas: Sequence[str] = ("syntax", "sentence_openers"), cap: float = UNSEEN) -> DataFrame:
+    """z with those of some areas limited either way: short spans swing there."""
+    return z.withColumn("z", F.when(F.col("grp").isin(*areas), F.greatest(F.lit(-cap), F.least(F.lit(cap), F.col("z")))).otherwise(F.col("z")))
+
+
+def average_z(z: DataFrame, values: DataFrame, summary: DataFrame, keep: Sequence[str] = ("document",)) -> DataFrame:
+    """(keep, grp, metric, z): the mean z of chunks. z may have `scale`, how much more the metric swings at a chunk's length.
+
+    A metric that the reference never varies on scores the same size each way: its mean size, signed by the side that the
+    mean value lies on, so opposite differences can't cancel.
+    """
+    own = F.col("z") / (F.col("scale") if "scale" in z.columns else F.lit(1.0))
+    means = z.groupBy(*keep, *_KEY).agg(F.avg(own).alias("plain"), F.avg(F.abs(own)).alias("size"))
+    here = values.groupBy(*keep, *_KEY).agg(F.avg("value").alias("here"))
+    rows = means.join(here, [*keep, *_KEY], "left").join(summary.select(*_KEY, "sd", "mean"), _KEY, "left")
+    signed = F.when(F.coalesce("here", F.lit(0.0)) < F.coalesce("mean", F.lit(0.0)), -F.col("size")).otherwise(F.col("size"))
+    return rows.select(*keep, *_KEY, F.when(F.coalesce("sd", F.lit(0.0)) != 0, F.col("plain")).otherwise(signed).alias("z"))

@@ -1,0 +1,152 @@
+"""Pieces, spans, drift, edits, advice: hand-worked rows and plain loops."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from inkwell.functions import html, markdown
+from inkwell.operators import advice, drift, edits, evaluate as ev, measure as m, ranges, reference as ref
+
+
+def test_match_spans_are_where_the_text_is(spark):
+    texts = ["I think, perhaps; we go: now (or never)? Yes! It isn't a plan, it's a map. Well... so -- it goes — on.", "We listen, we learn, and we act. But this is not the end. It's a start.", "Nothing here", "", None]
+    prep = m.prepared(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").withColumn("document", F.lit("d")))
+    plain = {r.chunk_id: r.t for r in prep.select("chunk_id", "t").collect()}
+    rows = m.match_spans(prep).collect()
+    assert all(plain[r.chunk_id][r.start : r.end].replace("’", "'") == r.text for r in rows)
+    found = {(r.chunk_id, r.metric, r.text) for r in rows}
+    assert {(0, "hedges", "I think"), (0, "hedges", "perhaps"), (0, "em_dashes", "—"), (0, "ellipses", "..."), (1, "parallel_triads", "We listen, we learn, and we act")} <= found
+    assert (1, "corrective_contrasts", "this is not the end. It's") in found
+    counts = m.wide(prep.withColumn("raw", F.col("text")), ("punctuation",), ("chunk_id", "n")).where("n > 0").collect()
+    for r in counts:
+        for name in ("commas", "colons", "questions", "em_dashes"):
+            assert r[f"{name}_per_1k"] * r.n / 1000 == pytest.approx(sum(x.metric == name and x.chunk_id == r.chunk_id for x in rows))
+
+
+def plain_plan(sizes: list[int], length: int):
+    n = len(sizes)
+    runs = [(a, b) for a in range(n) for b in range(a + 1, n + 1) if sum(sizes[a:b]) >= length]
+    if not runs:
+        return None
+    out = []
+    for i in range(n):
+        one = min((r for r in runs if r[0] == i), default=max((r for r in runs if r[1] == n), key=lambda r: r[0]))
+        two = max((r for r in runs if r[1] == i + 1), default=min((r for r in runs if r[0] == 0), key=lambda r: r[1]))
+        if one == two:
+            a, b = one
+            if a > 0 and (b == n or sizes[a - 1] < sizes[b]):
+                two = (a - 1, b)
+            elif b < n:
+                two = (a, b + 1)
+        out.append((*one, *two))
+    return out
+
+
+def test_span_plans_equal_a_plain_search(spark):
+    rng = random.Random(4)
+    rows = [[rng.choice([1, 10, 30, 60, 99, 100, 140]) for _ in range(rng.randint(0, 14))] for _ in range(60)] + [[100], [99], [50, 50], [100, 100]]
+    got = spark.createDataFrame(list(enumerate(rows)), "i long, s array<int>").select("i", drift.plan(F.col("s")).alias("p")).collect()
+    assert {r.i: r.p and [tuple(x) for x in r.p] for r in got} == {i: plain_plan(s, 100) for i, s in enumerate(rows)}
+
+
+def test_cut_points_and_whole_parts(spark):
+    df = spark.createDataFrame([([(40, 0), (40, 0), (40, 1), (40, 1)],), ([(75, 0), (74, 1)],), ([],)], "u array<struct<n:int,block:int>>")
+    assert [r.c for r in df.select(ranges.cut_points(F.col("u"), 75).alias("c")).collect()] == [[0, 2], [0, 1], []]
+    got = spark.createDataFrame([([30, 30, 30, 80, 200, 20],), ([100],), ([10],)], "s array<int>").select(ranges.whole_parts(F.col("s"), 75).alias("p")).collect()
+    assert [[tuple(x) for x in r.p] for r in got] == [[(0, 2, False), (3, 4, False), (4, 5, True)], [(0, 1, False)], []]
+
+
+def test_a_mean_of_equal_ranges(spark):
+    row = spark.createDataFrame([(0.6, 0.9, 0.2)], "mean double, p95 double, similarity double")
+    pooled = row.withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(7)))).agg(ranges.pooled_ceiling(0.5).alias("c")).first().c
+    got = [row.select(ranges.mean_ceiling(F.col("mean"), F.col("p95"), F.col("similarity"), F.lit(n), 0.5).alias("c")).first().c for n in (1, 7)]
+    assert got == pytest.approx([0.9, pooled])
+
+
+def test_judged_spans_and_the_null(spark):
+    rows = [(True, 1.0, 0.8, None, None), (True, 1.0, 0.8, 0.6, 0.3), (True, 0.1, 0.2, 0.1, 0.1), (False, 1.0, 0.8, 0.6, 0.3), (True, None, 0.8, None, None)]
+    got = drift.judged_spans(spark.createDataFrame(rows, "judged boolean, delta double, p95 double, likeness double, l_p95 double")).collect()
+    assert [(r.by, r.relative) for r in got] == [("delta", 1.25), ("likeness", 2.0), ("likeness", 0.4), ("delta", None), ("delta", None)]
+    rng = np.random.default_rng(1)
+    found = [(d, p, float(v), 2) for d in range(20) for p, v in enumerate(0.5 + 0.01 * d + rng.exponential(0.1, 30))] + [(0, 99, 5.0, 1)]
+    null = drift.calibrated(spark.createDataFrame(found, "chunk_id long, pos int, relative double, spans int")).first()
+    level = {d: float(np.median([v for e, _, v, s in found if e == d and s == 2])) for d in range(20)}
+    excess = sorted(v - level[d] for d, _, v, s in found if s == 2)
+    above = len(excess) // 10
+    assert (null.documents, null.paragraphs, null["count"]) == (20, 601, 600) and null.high == pytest.approx(sorted(level.values())[round(0.9 * 19)])
+    assert null.threshold == pytest.approx(excess[-above - 1]) and null.scale == pytest.approx(np.mean(excess[-above:]) - null.threshold)
+    few = drift.calibrated(spark.createDataFrame(found[:60], "chunk_id long, pos int, relative double, spans int")).first()
+    assert few.high is None and few.documents == 2
+
+
+def test_average_z_of_what_never_varies(spark):
+    z = spark.createDataFrame([(1, "d", "voice", "a", 3.0), (2, "d", "voice", "a", -3.0), (1, "d", "voice", "b", 1.0), (2, "d", "voice", "b", 2.0), (3, "d", "syntax", "c", 9.0)], "chunk_id long, document string, grp string, metric string, z double")
+    values = spark.createDataFrame([(1, "d", "voice", "a", 5.0), (2, "d", "voice", "a", 1.0), (1, "d", "voice", "b", 0.0)], "chunk_id long, document string, grp string, metric string, value double")
+    summary = spark.createDataFrame([("voice", "a", 0.0, 4.0), ("voice", "b", 1.0, 0.0)], "grp string, metric string, sd double, mean double")
+    got = {(r.metric): r.z for r in ref.average_z(z.where("grp = 'voice'"), values, summary).collect()}
+    assert got == {"a": -3.0, "b": 1.5}
+    assert [r.z for r in ref.capped(z).where("metric = 'c'").collect()] == [3.0]
+    top = drift.traits(z.withColumn("pos", F.lit(0)), values.withColumn("pos", F.lit(0)), summary, k=1).collect()
+    assert {(r.chunk_id, r.metric, r.z, r.value, r.reference) for r in top} == {(1, "a", 3.0, 5.0, 4.0), (2, "a", -3.0, 1.0, 4.0), (3, "c", 9.0, None, None)}
+
+
+def test_edits_and_their_originals(spark):
+    originals = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "c", None), (4, "d", "z")], "id long, full string, bare string")
+    edited = spark.createDataFrame([(10, "a", None), (11, "q", "y"), (12, None, None), (13, "r", "w")], "id long, full string, bare string")
+    assert {r.id for r in edits.covered(originals, edited, ["full", "bare"]).collect()} == {1, 2}
+    assert {r.id for r in edits.unmatched(edited, originals, ["full", "bare"]).collect()} == {12, 13}
+    repeats = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "e"), ("f", "e"), ("g", None)], "dropped string, kept string")
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "d"), (4, "f"), (5, "g"), (6, "h")], "id long, key string")
+    got = {r.id: (r.pair, r.note) for r in edits.edits_of_repeats(rows, repeats).collect()}
+    assert got == {1: ("a", "own"), 2: (None, "doubled"), 3: ("e", "copy"), 4: (None, "doubled"), 5: (None, "outside"), 6: ("h", "own")}
+
+
+def test_fold_scores_and_confidence(spark):
+    def z(rows):
+        return spark.createDataFrame(rows, "chunk_id long, document string, grp string, metric string, z double")
+
+    a = z([(i, f"w{i % 3}", "voice", "m", 0.1 * i - 0.3) for i in range(9)])
+    c = z([(20 + i, f"c{i % 2}", "voice", "m", 2.0 + i) for i in range(4)])
+    e = z([(40, "c0", "voice", "m", 2.0), (41, "c1", "voice", "m", 2.0), (42, "gone", "voice", "m", 2.0)])
+    got = {r.chunk_id: r.likeness for r in ev.fold_scores(a, c, e).collect()}
+    assert got[42] is None and got[40] == pytest.approx(2.0) and got[41] == pytest.approx(2.0)
+    scores = lambda pairs: spark.createDataFrame([(float(s), p, d) for s, p, d in pairs], "score double, positive boolean, document string")
+    apart = ev.auc_confidence(scores([(1, False, "a"), (2, False, "b"), (5, True, "c"), (6, True, "d")])).first()
+    assert (apart.auc, apart.low, apart.high, apart.method, apart.resamples) == (1.0, 1.0, 1.0, "exact", 0)
+    mixed = ev.auc_confidence(scores([(i % 7, i % 3 == 0, f"{i % 3 == 0}{i % 5}") for i in range(60)]), resamples=60).first()
+    assert mixed.method == "bootstrap" and mixed.low <= mixed.auc <= mixed.high and mixed.resamples == 60
+    one = ev.auc_confidence(scores([(1, False, "a"), (5, True, "c"), (6, True, "d")])).first()
+    assert (one.low, one.method, one.reference_documents) == (None, None, 1)
+
+
+def test_advice(spark):
+    good = spark.createDataFrame([(f"d{i % 5}", 500) for i in range(60)], "document string, words int")
+    assert advice.thin(good).count() == 0 and tuple(advice.totals(good).first()) == (60, 5, 30_000)
+    bad = spark.createDataFrame([("a", 100)] * 13 + [("b", 100)], "document string, words int")
+    assert {r.code: (r.found, r.wanted) for r in advice.thin(bad).collect()} == {"chunks": (14, 15), "dominant": (1, 20), "words": (1400, 20_000)}
+    assert {r.code for r in advice.thin(bad.limit(0)).collect()} == {"documents", "chunks", "words"}
+    names = spark.createDataFrame([("x", "p", 1), ("x", "q", 2), ("y", "p", 3), ("x", "p", 4), (None, "p", 5)], "name string, path string, i long")
+    assert {tuple(r) for r in advice.repeated_names(names, "name", "path").collect()} == {("x", 2, 3)}
+    assert [r.unique for r in advice.numbered(names, "name", ["i"]).orderBy("i").collect()] == ["x", "x (2)", "y", "x (3)", None]
+    advice.check_version(3, 1, 3, "a profile")
+    for held, minor in ((None, 0), (4, 0), (2, 0), (3, -1), ("3", 0)):
+        with pytest.raises(ValueError):
+            advice.check_version(held, minor, 3, "a profile")
+
+
+def test_pages_become_markdown(spark):
+    """Every paragraph, heading and list item of plain pages is there, markup gone, scripts and navigation not."""
+    page = "<html><head><title>T</title></head><body><nav>menu</nav><article><h1>Head</h1><p>One <b>bold</b> line.</p><ul><li>first</li><li>second</li></ul><pre>x = 1</pre><script>bad()</script></article><footer>foot</footer></body></html>"
+    assert html.html_to_markdown(page) == "# Head\n\nOne **bold** line.\n\n- first\n- second\n\n```\nx = 1\n```\n"
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = pages.select("html", html.to_markdown(F.col("html")).alias("md")).limit(40).collect()
+    for r in got:
+        assert (r.md is None) == (r.html is None)
+        assert r.md is None or not re.search(r"<(script|style|nav)\b", r.md)
+    prose = markdown.prose("# Head\n\nOne **bold** line.\n\n- first\n- second\n\n```\nx = 1\n```\n")
+    assert prose["blocks"] == ["One bold line.", "first", "second"] and (prose["headings"], prose["list_items"], prose["bold"]) == (1, 2, 1)
