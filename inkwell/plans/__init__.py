@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("measure", "corpus", "reference", "verdict")
+MODULES = ("measure", "corpus", "preparation", "reference", "verdict")
 
 
 def gathered() -> tuple[dict, dict]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import stats
-from inkwell.operators import reference as ref
+from inkwell.operators import evaluate as ev, ranges, reference as ref
 from inkwell.plans.base import SQL_VALUES, SUBSET, as_long, measured
 from inkwell.plans.measure import _rounded
 from inkwell.sources.scratch import materialize
@@ -155,6 +155,25 @@ def length_baseline(s: Setup) -> DataFrame:
     return got.crossJoin(medians).select(F.greatest("auc", 1 - F.col("auc")).alias("auc"), F.when(F.col("auc") >= 0.5, "longer").otherwise("shorter").alias("direction"), "writer_median", "contrast_median")
 
 
+@_query
+def average_z(s: Setup) -> DataFrame:
+    """Mean z of each document's drafts, by metric."""
+    return ref.average_z(s.draft_z, s.drafts, s.summary)
+
+
+@_query
+def mean_ceilings(s: Setup) -> DataFrame:
+    """The bound of a mean over one to ten chunks, by area."""
+    rows = delta_range_table(_deltas(s)).withColumn("chunks", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    return rows.select("area", "chunks", ranges.mean_ceiling(F.col("mean"), F.col("p95"), F.col("similarity"), F.col("chunks"), ranges.DELTA_FLOOR).alias("ceiling"))
+
+
+@_query
+def fold_scores(s: Setup) -> DataFrame:
+    """Likeness of drafts under the fold learned without the contrast texts of their document."""
+    return ev.fold_scores(s.z, s.contrast_z, s.draft_z)
+
+
 def z_sql(value: str, n: str, mean: str, sd: str, floor: str) -> str:
     spread = f"greatest(coalesce({sd}, 0), coalesce({floor}, 0))"
     return f"CASE WHEN {n} < 2 THEN NULL WHEN abs({value} - {mean}) <= greatest(1e-6 * greatest(abs({value}), abs({mean})), 1e-6) THEN 0 WHEN {spread} > 0 THEN ({value} - {mean}) / {spread} ELSE 3.0 * sign({value} - {mean}) END"
@@ -224,7 +243,10 @@ SQL = {
     "effects_without": f"WITH {SQL_SETUP} SELECT document, grp, metric, {_r('effect', 'rms')} FROM fr",
     "likeness_loo": f"WITH {SQL_SETUP} SELECT chunk_id, document, side, {_r('likeness')} FROM liked",
     "likeness_signals_topk": f"WITH {SQL_SETUP}, s AS (SELECT chunk_id, grp, metric, z, effect * effect * greatest(0, sign(effect) * z) / greatest(rms, 1) AS part, sum(effect * effect) OVER (PARTITION BY chunk_id) AS w FROM dz JOIN fold USING (grp, metric)), k AS (SELECT *, part / w AS share, row_number() OVER (PARTITION BY chunk_id ORDER BY part / w DESC, grp DESC, metric DESC, z DESC) AS rank FROM s WHERE part > 0) SELECT chunk_id, grp, metric, {_r('z', 'share')}, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5",
+    "average_z": f"WITH {SQL_SETUP}, h AS (SELECT document, grp, metric, avg(value) AS here FROM dra GROUP BY ALL) SELECT document, grp, metric, round(CASE WHEN coalesce(any_value(sd), 0) <> 0 THEN avg(z) WHEN coalesce(any_value(here), 0) < coalesce(any_value(mean), 0) THEN -avg(abs(z)) ELSE avg(abs(z)) END, 6) AS z FROM dz LEFT JOIN h USING (document, grp, metric) LEFT JOIN summ USING (grp, metric) GROUP BY ALL",
+    "mean_ceilings": f"WITH {SQL_SETUP}, {SQL_RANGE} SELECT area, CAST(chunks AS INTEGER) AS chunks, round(greatest(CASE WHEN chunks = 1 THEN p95 ELSE mean + greatest(p95 - mean, 0) * sqrt(similarity + (1 - similarity) / chunks) END, 0.5::DOUBLE), 6) AS ceiling FROM range_, range(1, 11) r(chunks)",
+    "fold_scores": f"WITH {SQL_SETUP}, f AS (SELECT chunk_id, sum(effect * effect * greatest(0, sign(effect) * z) / greatest(rms, 1)) / nullif(sum(effect * effect), 0) AS likeness FROM dz JOIN fc USING (grp, metric, document) GROUP BY 1) SELECT d.chunk_id, d.document, round(likeness, 6) AS likeness FROM (SELECT DISTINCT chunk_id, document FROM dz) d LEFT JOIN f USING (chunk_id)",
     "auc_rank": f"WITH {SQL_SETUP}, p AS (SELECT likeness AS s FROM liked WHERE side = 'contrast' AND likeness IS NOT NULL), q AS (SELECT likeness AS s FROM liked WHERE side = 'writer' AND likeness IS NOT NULL) SELECT round(avg(CASE WHEN p.s > q.s THEN 1.0::DOUBLE WHEN p.s = q.s THEN 0.5::DOUBLE ELSE 0 END), 6) AS auc FROM p CROSS JOIN q",
     "length_baseline": f"WITH {SQL_SETUP}, c AS (SELECT DISTINCT chunk_id, role, words FROM vals WHERE role <> 'draft'), a AS (SELECT avg(CASE WHEN p.words > q.words THEN 1.0::DOUBLE WHEN p.words = q.words THEN 0.5::DOUBLE ELSE 0 END) AS auc FROM c p CROSS JOIN c q WHERE p.role = 'contrast' AND q.role = 'writer') SELECT round(greatest(auc, 1 - auc), 6) AS auc, CASE WHEN auc >= 0.5 THEN 'longer' ELSE 'shorter' END AS direction, (SELECT median(words) FROM c WHERE role = 'writer') AS writer_median, (SELECT median(words) FROM c WHERE role = 'contrast') AS contrast_median FROM a",
 }
-QUERIES = {f.__name__: f for f in (metric_summary, resolution_floors, held_out_z, reliability_rms, z_against_reference, delta_by_area, held_out_delta, deviations_topk, icc_effective, delta_range, contrast_effects, effects_without, likeness_loo, likeness_signals_topk, auc_rank, length_baseline)}
+QUERIES = {f.__name__: f for f in (metric_summary, resolution_floors, held_out_z, reliability_rms, z_against_reference, delta_by_area, held_out_delta, deviations_topk, icc_effective, delta_range, contrast_effects, effects_without, likeness_loo, likeness_signals_topk, auc_rank, length_baseline, average_z, mean_ceilings, fold_scores)}
