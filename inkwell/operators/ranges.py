@@ -54,7 +54,7 @@ def cut_points(units: Column, length: int, excerpts: bool = False) -> Column:
         rows = [x or [] for x in column.to_pylist()]
         return pa.array([_cuts([u["n"] for u in r], [u["block"] for u in r], length, 0.0 if excerpts else 0.25 * length) if r else [] for r in rows], pa.list_(pa.int32()))
 
-    return cut(units)
+    return cut.asNondeterministic()(units)  # so that no generator takes it in
 
 
 def _whole(sizes: list[int], length: int) -> list[tuple[int, int, bool]]:
