@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import lexicon as lx
-from inkwell.functions.registry import registry
+from inkwell.functions.registry import METRICS, UNSCORED, registry
 from inkwell.operators import measure as m
 from inkwell.operators.vocabulary import vocabulary
-from inkwell.plans.base import SQL_BASE, SQL_VALUES, chunks, count_in, matches, per_1k, values
+from inkwell.plans.base import SQL_BASE, SQL_VALUES, _W, chunks, count_in, matches, per_1k, values
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -93,7 +93,19 @@ _list = ", ".join(f"'{w}'" for w in lx.FUNCTION_WORDS)
 _weights = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in lx.REGISTER.items())
 _sent_share = lambda p: "100.0::DOUBLE * count(*) FILTER (regexp_matches(s, '" + p.replace("'", "''") + "')) / count(*)"
 _en = ", ".join(f"'{w}'" for w in lx.ENGLISH_WORDS)
+_metrics = ", ".join(f"('{x.grp}', {x.grp not in UNSCORED}, {x.syntax})" for x in METRICS)
+#: Paragraphs between blank lines, and their sentences by the rule of SQL_BASE.
+_PARAGRAPHS = rf"""pg AS (SELECT chunk_id, unnest(p) AS t, unnest(range(len(p))) AS k FROM (SELECT chunk_id, string_split(regexp_replace(coalesce(raw, ''), '\n[ \t>]*\n', chr(30), 'g'), chr(30)) AS p FROM base)),
+pt AS (SELECT chunk_id, k, trim(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM pg WHERE regexp_matches(t, '[\pL\pN_]')),
+pp AS (SELECT chunk_id, k, unnest(p) AS piece, unnest(range(len(p))) AS pos FROM (SELECT chunk_id, k, string_split(regexp_replace(t, '([.!?]["''”’)\]]?)\s+(["“''‘(\[]?[A-Z0-9])', '\1' || chr(30) || '\2', 'g'), chr(30)) AS p FROM pt)),
+pi AS (SELECT *, sum(CASE WHEN glued THEN 0 ELSE 1 END) OVER (PARTITION BY chunk_id, k ORDER BY pos) AS g FROM (SELECT *, coalesce(regexp_matches(lag(piece) OVER w, '(?i)(?:^|[^\pL\pN_])(?:e\.g|i\.e|vs|mr|mrs|ms|dr|st|jr|sr|fig|approx)\.$')
+  OR (regexp_matches(lag(piece) OVER w, '(?:^|[^\pL\pN_])(?:No|Nos|[Vv]ol|pp|[Cc]h)\.$') AND regexp_matches(piece, '^[0-9]')), false) AS glued FROM pp WINDOW w AS (PARTITION BY chunk_id, k ORDER BY pos))),
+ps AS (SELECT chunk_id, k, count(*) AS s FROM (SELECT chunk_id, k, g, string_agg(piece, ' ' ORDER BY pos) AS s FROM pi GROUP BY ALL) WHERE regexp_matches(s, '[\pL\pN_]') GROUP BY ALL),
+pa AS (SELECT chunk_id, count(*) AS paragraphs, sum(s) AS sentences, avg(s) AS a, avg(len(regexp_extract_all(t, '{_W}'))) AS b, 100.0::DOUBLE * count(*) FILTER (s = 1) / count(*) AS c FROM pt JOIN ps USING (chunk_id, k) GROUP BY 1)"""
+_lone = "len(tok) >= 300 AND paragraphs = 1"
 SQL = {
+    "metric_registry": f"SELECT grp, count(*) AS metrics, count(*) FILTER (scored) AS scored, count(*) FILTER (syntax) AS syntax FROM (VALUES {_metrics}) m(grp, scored, syntax) GROUP BY 1",
+    "paragraph_shape": f"WITH {SQL_BASE}, {_PARAGRAPHS} SELECT chunk_id, CAST(len(tok) AS DOUBLE) AS words, CAST(coalesce(sentences, 0) AS DOUBLE) AS sentences, CAST(coalesce(paragraphs, 0) AS DOUBLE) AS paragraphs, CAST({matches(chr(91) + chr(39) + '‘’]')} AS DOUBLE) AS apostrophes, CASE WHEN NOT ({_lone}) THEN round(a, 6) END AS paragraph_sentences_mean, CASE WHEN NOT ({_lone}) THEN round(b, 6) END AS paragraph_words_mean, CASE WHEN NOT ({_lone}) THEN round(c, 6) END AS one_sentence_paragraphs_pct FROM lists LEFT JOIN pa USING (chunk_id)",
     "tokens_words": f"WITH {SQL_BASE} SELECT chunk_id, count(*) AS words, count(DISTINCT tok) AS types, CAST(sum(length(tok)) AS BIGINT) AS chars FROM toks GROUP BY chunk_id",
     "sentence_lengths": f"WITH {SQL_BASE} SELECT chunk_id, pos, n FROM sents",
     "sentence_shape": f"WITH {SQL_BASE} SELECT chunk_id, {', '.join(f'round({c}, 6) AS {c}' for c in SHAPE)} FROM base LEFT JOIN shape USING (chunk_id)",
