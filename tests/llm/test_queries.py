@@ -42,6 +42,36 @@ def test_messy_tables(spark, messy, name):
     assert name == "op4_decontaminate" or all(r[0] is None or isinstance(r[0], int) for r in got)
 
 
+def test_messy_values(spark, messy):
+    """Nulls, empty and long texts, ties, repeated rows and clashing columns: the rows that a plain loop gives."""
+    import tiktoken
+
+    from inkwell.llm.token_counts import PATTERN, read_ranks
+
+    run = lambda name: queries.QUERIES[name](spark, messy).collect()
+    all_texts = texts(spark, messy)
+    raw = [(t or "").encode() for _, t in all_texts]
+    assert Counter(tuple(r)[:5] for r in run("op2_repeated_bytes")) == Counter((i, *digest(t, g)) for (i, _), t, g in zip(all_texts, raw, removed(raw, 200)))
+    tokenizer = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=read_ranks(queries.TOKENIZER), special_tokens={})
+    assert Counter(map(tuple, run("op3_token_counts"))) == Counter((i, len(tokenizer.encode_ordinary(t or ""))) for i, t in all_texts)
+    found = Counter((r.doc_id, r.item_id) for r in run("op4_decontaminate"))
+    assert found == Counter({(5, 1): 4, (5, None): 2, (6, 1): 2, (6, None): 1})  # two rows of id 5, two equal items
+    prints = [simhash(t) for _, t in all_texts]
+    assert Counter((r.doc_id, r.fingerprint) for r in run("op5_simhash")) == Counter((i, f"{p:016x}") for (i, _), p in zip(all_texts, prints))
+    assert {r.component_id for r in run("op5_simhash") if r.fingerprint == "0" * 16} == {1}
+    lines = {r.doc_id: (r.n_lines, r.n_dropped) for r in run("op6_line_dedup") if r.doc_id is not None}
+    assert lines[1] == (0, 0) and lines[2] == (1, 0) and lines[9] == (5, 0) and lines[20] == (2, 0) and all(lines[i] == (2, 1) for i in range(21, 28))
+    scores: dict = {}
+    for r in run("op8_quality"):
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3)
+        scores.setdefault(r.doc_id, set()).add(r.score)
+    assert len(scores[5]) == len(scores[None]) == 1 and scores[1] == scores[2]
+    assert Counter(r.lang_pred for r in run("op9_language") if r.doc_id in (1, 2, 3, 4)) == {"und": 4}
+    secrets = {r.doc_id: r for r in run("op10_secrets") if r.doc_id is not None}
+    assert all((secrets[i].n_assign, secrets[i].n_access, secrets[i].n_hex) == (len(base_spans(t or "")), 0, 0) for i, t in all_texts if i is not None)
+    assert secrets[9].n_assign == 1 and secrets[1].spans == ""
+
+
 @pytest.mark.parametrize("name", queries.QUERIES)
 def test_empty_tables(spark, empty, name):
     assert queries.QUERIES[name](spark, empty).count() == 0
