@@ -13,10 +13,12 @@ An empty block adds nothing; missing block numbers are no gap. Empty documents c
 from __future__ import annotations
 
 import base64
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,11 +73,26 @@ def flat_files(docs: DataFrame, ranks: dict[bytes, int], end: int = 50256, block
     return both.where("block IS NOT NULL").select("file", "block", "tokens"), both.where("ordinal IS NOT NULL").select("file", "ordinal", "doc_id")
 
 
+def _ranges(block_bytes: int):
+    def read(batches):
+        for b in batches:
+            for file, path, block in zip(*(b.column(c).to_pylist() for c in ("file", "path", "block"))):
+                if path.startswith("file:"):
+                    system, inner = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+                else:
+                    system, inner = fs.FileSystem.from_uri(quote(path, safe="/:@"))
+                with system.open_input_file(inner) as f:
+                    f.seek(block * block_bytes)
+                    yield pa.RecordBatch.from_pydict({"file": [file], "block": [block], "tokens": [f.read(block_bytes)]}, pa.schema([("file", pa.int64()), ("block", pa.int64()), ("tokens", pa.binary())]))
+
+    return read
+
+
 def read_files(spark: SparkSession, path: str, block_bytes: int = 1 << 20) -> DataFrame:
-    """Flat files of a folder as rows of blocks."""
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "content")
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("content") - 1) / block_bytes))))
-    return files.select("file", at.alias("block"), "content").select("file", "block", F.substring("content", F.col("block").cast("int") * block_bytes + 1, F.lit(block_bytes)).alias("tokens"))
+    """Flat files of a folder as rows of blocks. Spark lists them; each task reads its own byte ranges, so a file of any size is many tasks' work."""
+    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "path", "length")
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.col("length") - 1) / block_bytes))))
+    return files.select("file", "path", at.alias("block")).repartition("file", "block").mapInArrow(_ranges(block_bytes), "file long, block long, tokens binary")
 
 
 def _searched(end: int, dtype: str):
