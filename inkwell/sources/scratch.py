@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -38,7 +39,9 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes materialized tables that nothing reads any more."""
+    """Deletes materialized tables that nothing reads any more, and lets go of the shuffles behind them."""
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.inkwell_path)
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()  # Spark removes the files of shuffles that no plan holds any more
