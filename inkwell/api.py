@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import stats
 from inkwell.functions.markdown import markdown_prose, parts as markdown_parts
 from inkwell.functions.tokens import WORD
-from inkwell.operators import corpus, evaluate as ev, measure, ranges, reference as ref
+from inkwell.operators import corpus, drift, evaluate as ev, measure, ranges, reference as ref
 from inkwell.operators.advice import check_version
 from inkwell.operators.edits import unmatched
 from inkwell.sources.scratch import materialize
@@ -113,6 +113,34 @@ def pieces_of(docs: DataFrame, settings: Settings, lengths: Sequence[int] = corp
     return one.select(F.concat("chunk_id", F.lit("#"), "length", F.lit("/"), "k").alias("chunk_id"), "document", "length", text.alias("text"))
 
 
+def _in_parts(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """texts: chunk_id, document, text. Their paragraphs, the plan of spans, and the spans' scored metrics (chunk_id, document, a, b, words, grp, metric, value)."""
+    parts = drift.paragraphs(texts)
+    plans = materialize(drift.planned(parts))
+    wide = measure.measured(measure.prepared(drift.spans(plans, parts)), ("chunk_id", "a", "b"))
+    values = measure.long(wide, ("chunk_id", "a", "b", "words"), scored_only=True)
+    return parts, plans, values.join(texts.select("chunk_id", "document"), "chunk_id")
+
+
+def _relatives(z: DataFrame, rms: DataFrame, points: DataFrame) -> DataFrame:
+    """z of spans. (chunk_id, a, b, relative): each span's distance over the bound at its length, null where it isn't judged."""
+    keep = ("chunk_id", "a", "b", "words")
+    rows = ref.delta(ref.capped(z), rms, keep).where("grp = 'overall'").drop("grp")
+    at = ranges.judged(ranges.at_words(rows, points.where("area = 'overall'")), points)
+    none = F.lit(None).cast("double")
+    return drift.judged_spans(at.withColumns({"likeness": none, "l_p95": none})).select("chunk_id", "a", "b", "relative")
+
+
+def drift_null(docs: DataFrame, values: DataFrame, summary: DataFrame, rms: DataFrame, points: DataFrame) -> DataFrame:
+    """One row, drift.calibrated: what the writer's own texts do, read in parts and judged without their document. Every k-th
+    text is read, to about 30 000 words."""
+    texts = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("document").cast("string").alias("document"), "text", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).alias("n"))
+    chosen = materialize(corpus.every_kth(texts.where("n > 0"), ["document", "chunk_id"], "n").select("chunk_id", "document", "text"))
+    _, plans, spans = _in_parts(chosen)
+    z = ref.held_out_z(values, summary, others=spans)
+    return drift.calibrated(drift.statistics(plans, _relatives(z, rms, points)))
+
+
 @dataclass(frozen=True)
 class Scores:
     """What a profile says of drafts: chunks, areas (distance by area), deviations and signals (their largest metrics)."""
@@ -137,13 +165,14 @@ class Scores:
 
 @dataclass(frozen=True)
 class Profile:
-    """A writer's style: summary (grp, metric, n, mean, sd, floor), rms (grp, metric, rms), points (anchors), effects (grp, metric, effect, rms) and likeness (one row; empty without a contrast set)."""
+    """A writer's style: summary (grp, metric, n, mean, sd, floor), rms (grp, metric, rms), points (anchors), effects (grp, metric, effect, rms), likeness (one row; empty without a contrast set) and null (one row: how paragraphs of the writer's own texts vary)."""
 
     summary: DataFrame
     rms: DataFrame
     points: DataFrame
     effects: DataFrame
     likeness: DataFrame
+    null: DataFrame
     settings: Settings = Settings()
 
     def tables(self) -> dict[str, DataFrame]:
@@ -181,6 +210,16 @@ class Profile:
         rows = rows.select("chunk_id", "document", "words", "judged", "delta", *ranges.RANGE, "level", ranges.verdict(F.col("level"), F.col("judged")).alias("verdict"), "likeness", "flagged")
         return Scores(rows, areas, ref.deviations(z), ref.signals(z, self.effects))
 
+    def drift(self, docs: DataFrame) -> DataFrame:
+        """(chunk_id, pos, line, words, excerpt, relative, spans, limit, drifts) of paragraphs of texts of 100 words or more."""
+        texts = docs.select(F.col("doc_id" if "doc_id" in docs.columns else "chunk_id").cast("string").alias("chunk_id"), F.col("document").cast("string").alias("document"), "text")
+        parts, plans, spans = _in_parts(texts)
+        z = ref.z_against(spans, self.summary)
+        null = self.null.first()
+        tail = null.asDict() if null and null["scale"] is not None else None
+        found = drift.flags(drift.statistics(plans, _relatives(z, self.rms, self.points)), plans, null["high"] if tail else 0.0, tail)
+        return parts.drop("text").join(found, ["chunk_id", "pos"])
+
     def score(self, docs: DataFrame, cut: bool = False) -> DataFrame:
         """(chunk_id, document, words, judged, delta, p95, level, verdict, likeness) of chunks."""
         return self.scores(docs, cut).chunks.select("chunk_id", "document", "words", "judged", "delta", "p95", "level", "verdict", "likeness")
@@ -227,7 +266,9 @@ def build(docs: DataFrame, contrast: DataFrame | None = None, settings: Settings
         own = ref.likeness(z, ref.fold_without(z, cz, "reference")).select(F.col("likeness").alias("score"), F.lit(False).alias("positive"))
         other = materialize(ref.likeness(cz, ref.fold_without(z, cz, "contrast")).select(F.col("likeness").alias("score"), F.lit(True).alias("positive")))
         likeness = stats.auc(own.unionByName(other)).crossJoin(other.agg(F.median("score").alias("target")))  # one row each
-    return Profile(summary, materialize(ref.reliability(z)), materialize(points), materialize(effects), materialize(likeness), settings)
+    rms, points = materialize(ref.reliability(z)), materialize(points)
+    null = materialize(drift_null(docs, values, summary, rms, points))
+    return Profile(summary, rms, points, materialize(effects), materialize(likeness), null, settings)
 
 
 @dataclass(frozen=True)

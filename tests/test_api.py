@@ -25,7 +25,7 @@ def text(words: list[str], n: int, seed: int, mark: str) -> str:
 
 
 def sets(spark):
-    rows = lambda side, words, mark, n: [(f"{side}{i}", f"{side} {i % n}", text(words, 700, 31 * i + len(words), mark)) for i in range(24)]
+    rows = lambda side, words, mark, n: [(f"{side}{i}", f"{side} {i % n}", "\n".join(text(words, 105, 310 * i + k + len(words), mark) for k in range(10))) for i in range(24)]
     return [spark.createDataFrame(r, "doc_id string, document string, text string") for r in (rows("w", PLAIN, ".", 12), rows("c", FANCY, ";", 12))]
 
 
@@ -55,6 +55,18 @@ def test_a_profile_tells_writers_apart(spark, built):
     assert {r.document for r in scores.failing(level=2).collect()} == {"other"}
 
 
+def test_a_foreign_paragraph_drifts(spark, built):
+    profile, _ = built
+    null = profile.null.first()
+    assert null.documents >= 10 and null.high is not None and null.scale is not None
+    own = [text(PLAIN, 130, 70 + k, ".") for k in range(6)]
+    mixed = [*own[:3], text(FANCY, 130, 80, ";"), *own[3:]]
+    rows = [("own", "own", "\n".join(own)), ("mixed", "mixed", "\n".join(mixed)), ("short", "short", "a few words"), ("none", "none", None)]
+    got = profile.drift(spark.createDataFrame(rows, "doc_id string, document string, text string")).collect()
+    assert {(r.chunk_id, r.pos) for r in got} == {("own", k) for k in range(6)} | {("mixed", k) for k in range(7)}
+    assert [r.pos for r in got if r.drifts] == [3] and all(r.chunk_id == "mixed" and r.line == 4 for r in got if r.drifts)
+
+
 def test_other_versions_are_refused(spark, built, tmp_path):
     profile, _ = built
     profile.save(str(tmp_path))
