@@ -164,10 +164,24 @@ def anchors(data: np.ndarray, starts: np.ndarray, span: int) -> tuple[np.ndarray
 
 
 def _held(bitmap: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    bit = codes >> np.uint64(64 - BITMAP_BITS)
+    bit = codes >> np.uint64(65 - (64 * len(bitmap)).bit_length())
     return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
 
 
+def _folded(bitmap: np.ndarray) -> np.ndarray:
+    """The same set in as few bits as leave one of 64 set or less, 2**12 at least: what few hashes need isn't sent as 16 MB."""
+    bits, most = (64 * len(bitmap)).bit_length() - 1, 64 * int(np.bitwise_count(bitmap).sum())
+    fewer = max(12, most.bit_length())
+    if fewer >= bits:
+        return bitmap
+    word = np.flatnonzero(bitmap)
+    row, at = np.nonzero(np.unpackbits(bitmap[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    place = (word[row] * 64 + at) >> (bits - fewer)
+    out = np.zeros(1 << fewer - 6, np.uint64)
+    np.bitwise_or.at(out, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+    return out
+
+
 def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and values of low..high, row by row."""
     n = high - low + 1
@@ -244,12 +258,12 @@ def _emitted(span: int, level: int, shared: list):
 
 
 def _bitmap(hashes: DataFrame):
-    """A column h of hashes as a broadcast bitmap of 2**BITMAP_BITS bits."""
+    """A column h of hashes as a broadcast bitmap of 2**BITMAP_BITS bits, or fewer where they are few."""
     low = 64 - BITMAP_BITS
     words = hashes.select(F.shiftrightunsigned("h", low + 6).alias("w"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {low}) & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     bitmap = np.zeros(1 << BITMAP_BITS - 6, np.uint64)
     bitmap[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
-    return hashes.sparkSession.sparkContext.broadcast(bitmap)
+    return hashes.sparkSession.sparkContext.broadcast(_folded(bitmap))
 
 
 def repeated_windows(docs: DataFrame, span: int = 200) -> DataFrame:
