@@ -9,6 +9,8 @@ document but the first that carries it (the smallest id).
 Lines of under `least_tokens` tokens, and those without any, have no template and stay; a line of one or two tokens is
 its own template. Null texts stay null, with no lines; an empty text is one empty line. Null ids come first. Rows that
 repeat both id and text are one document here and keep or lose the same lines. A very long text is a row like any other.
+Most templates are those of one line, so rows are counted by template first, and a bitmap of bounded size holds the
+templates of enough rows: only lines that it may hold are dealt out with their ids. A full bitmap holds back none.
 Columns of docs with names used here don't meet them. An empty table gives an empty result.
 """
 
@@ -17,10 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import materialize
+from inkwell.llm.common import discard, materialize
 
 DEPTH = 2
 PARTS = 4
+#: The bitmap of templates has 2 to this power words of 64 bits (2 MB; 10 MiB as a broadcast table, if all are in use).
+WORD_BITS = 18
 
 
 def _lines(text: Column) -> Column:
@@ -46,19 +50,31 @@ def templates(lines: DataFrame, least_tokens: int) -> DataFrame:
     return rows.select(*[c for c in lines.columns if c != "tokens"], F.explode(keys).alias("key"))
 
 
+def _frequent(each: DataFrame, least: int) -> DataFrame:
+    """The rows of each whose key is in `least` rows or more, and some others: those that share a bit with such a key."""
+    word, bit = F.shiftrightunsigned("key", 64 - WORD_BITS).alias("word"), F.col("key").bitwiseAND(63).cast("int")
+    often = each.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") >= least)
+    words = often.select(word, bit.alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    return each.withColumn("word", word).join(F.broadcast(words), "word").where(F.getbit("bits", bit) == 1).select(each.columns)
+
+
 def dropped_lines(docs: DataFrame, doc_id: str, text: str, least_docs: int, least_tokens: int) -> DataFrame:
     """Rows (id, mark, dropped): the documents that lose lines (mark: hash of the text), and those lines' ascending numbers."""
     lines = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("mark"), F.posexplode(_tokens(F.col(text))).alias("i", "tokens"))
-    each = materialize(templates(lines, least_tokens))
+    every = materialize(templates(lines, least_tokens))
+    each = materialize(_frequent(every, least_docs))
+    discard(every)
     carried = each.select("key", "id", "mark").distinct()
-    recurring = carried.groupBy("key").agg(F.count("*").alias("docs"), F.min(F.struct("id", "mark")).alias("first")).where(F.col("docs") >= least_docs)
-    later = each.join(materialize(recurring), "key").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))))
-    return later.groupBy("id", "mark").agg(F.array_sort(F.collect_set("i")).alias("dropped"))
+    recurring = materialize(carried.groupBy("key").agg(F.count("*").alias("docs"), F.min(F.struct("id", "mark")).alias("first")).where(F.col("docs") >= least_docs))
+    later = each.join(recurring, "key").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))))
+    drops = materialize(later.groupBy("id", "mark").agg(F.array_sort(F.collect_set("i")).alias("dropped")))
+    discard(each, recurring)
+    return drops
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_docs: int = 5, least_tokens: int = 1, counts: tuple[str, str] = ("lines_before", "lines_dropped")) -> DataFrame:
     """The documents, with recurring lines gone from text, and the columns of `counts` added; columns of these names give way."""
-    drops = materialize(dropped_lines(docs, doc_id, text, least_docs, least_tokens)).alias("__drops")
+    drops = dropped_lines(docs, doc_id, text, least_docs, least_tokens).alias("__drops")
     found = docs.alias("__docs").join(drops, F.col(f"__docs.{doc_id}").eqNullSafe(F.col("__drops.id")) & (F.xxhash64(f"__docs.{text}") == F.col("__drops.mark")), "left")
     body, gone = F.col(f"__docs.{text}"), F.coalesce("__drops.dropped", F.array().cast("array<int>"))
     lines = _lines(body)

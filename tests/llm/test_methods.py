@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm import decontaminate, embed_dedup, langid, line_templates, mixing, quality, queries, secret_scan, simhash, suffix_dedup, token_counts
 from inkwell.llm.common import components, pieces, row_sums, slices
+from inkwell.sources import scratch
 from tests.conftest import same_as_sql
 from tests.llm.conftest import prose
 from tests.llm.test_queries import digest, joined, removed
@@ -138,6 +139,30 @@ def test_line_templates(spark):
     assert got[10].lines_dropped == 0
 
 
+def test_line_dedup_deals_out_few_lines(spark, tmp_path, monkeypatch):
+    """Lines of their own are dealt out once at most, only as counts; scratch but the drops is gone; bits that templates share change no result."""
+    docs = spark.range(0, 2000, 1, 4).selectExpr("id AS doc_id", "concat('shared', chr(10), array_join(transform(sequence(1, 9), k -> concat('own', translate(md5(concat(id, ' ', k)), '0123456789', 'ghijklmnop'))), chr(10))) AS text")
+    monkeypatch.setattr(scratch, "folder", lambda _: str(tmp_path))
+    sc = spark.sparkContext
+
+    def written() -> dict[int, int]:
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        drops = {r.id: r.dropped for r in line_templates.dropped_lines(docs, "doc_id", "text", 5, 1).collect()}
+        dealt = sum(n for i, n in written().items() if i not in before)
+        monkeypatch.setattr(line_templates, "WORD_BITS", 1, raising=False)
+        assert {r.id: r.dropped for r in line_templates.dropped_lines(docs, "doc_id", "text", 5, 1).collect()} == drops
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert drops == {i: [0] for i in range(1, 2000)}
+    assert 18_000 <= dealt < 30_000  # 18,000 lines of their own; the common one is dealt three times
+    assert len(list((tmp_path / "inkwell").iterdir())) == 2  # the drops of either call
+
+
 def test_targets_reshare_the_excess(spark):
     sizes = spark.createDataFrame([("a", 100), ("b", 10), (None, 1000)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes, (5, 2, 1), 3).collect()}
