@@ -215,13 +215,43 @@ def paired(edits: DataFrame, originals: DataFrame, keys: Sequence[str]) -> DataF
     return done.unionByName(left.select("id", F.lit(None).cast(dict(originals.dtypes)["id"]).alias("original"), F.lit(None).cast("string").alias("by")))
 
 
+def _held_times(a: Column, some: Column) -> Column:
+    """How many elements of an array of longs, repeats and all, are among `some` of its different ones: among both twice and
+    `some`, sorted, these come an odd number of times."""
+    half = lambda run: F.when(run % 2 == 1, F.shiftright(run, 1)).otherwise(0)
+    start = F.struct(F.lit(0).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("total"))
+
+    def step(s: Column, x: Column) -> Column:
+        same = (s["run"] > 0) & (s["last"] == x)
+        return F.struct(x.alias("last"), F.when(same, s["run"] + 1).otherwise(1).alias("run"), F.when(same, s["total"]).otherwise(s["total"] + half(s["run"])).alias("total"))
+
+    return F.aggregate(F.sort_array(F.concat(a, a, some)), start, step, lambda s: s["total"] + half(s["run"]))
+
+
 def ngram_changed(pairs: DataFrame, old: str = "old", new: str = "new", n: int = 13, key: str = "pair") -> DataFrame:
-    """(key, grams, changed): share of the original's n-word sequences that its edit doesn't have; repeats count."""
+    """(key, grams, changed): share of the original's n-word sequences that its edit doesn't have; repeats count.
+
+    A pair is compared in its row, so no task holds the sequences of many. Rows of one key are one pair: their sequences
+    are grouped.
+    """
     def grams(c: str) -> Column:
         hashed = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.xxhash64(F.slice(t, i, n)))
         return let(tokens(F.col(c)), lambda t: F.when(F.size(t) >= n, hashed(t)).otherwise(F.array().cast("array<long>")))
 
-    a = pairs.select(key, F.explode(grams(old)).alias("g"))
-    b = pairs.select(key, F.explode(grams(new)).alias("g")).distinct().withColumn("kept", F.lit(1))
-    counts = a.join(b, [key, "g"], "left").groupBy(key).agg(F.count("*").alias("grams"), (F.count_if(F.col("kept").isNull()) / F.count("*")).alias("changed"))
-    return pairs.select(key).join(counts, key, "left")
+    def compared(a: Column, b: Column) -> Column:
+        size = F.size(a)
+        gone = lambda g: F.when((F.size(g) == 0) | (F.size(g) == size), F.size(g)).when(F.size(F.array_distinct(a)) == size, F.size(g)).otherwise(_held_times(a, g))
+        told = F.struct(size.cast("long").alias("grams"), (let(F.array_except(a, b), gone) / size).alias("changed"))
+        return F.when(size > 0, told)
+
+    rows = pairs.select(key, F.col(old).alias("__old"), F.col(new).alias("__new"), F.count("*").over(Window.partitionBy(key)).alias("__rows"))
+    known = F.col(key).isNotNull()
+    own = let(grams("__old"), lambda a: let(grams("__new"), lambda b: compared(a, b)))
+    single = rows.where(~known | (F.col("__rows") == 1)).select(key, F.when(known, own).alias("__c")).select(key, "__c.*")
+    tagged = lambda c, is_old: F.transform(grams(c), lambda g: F.struct(g.alias("g"), F.lit(int(is_old)).alias("a"), F.lit(int(not is_old)).alias("b"), F.lit(0).alias("rows")))
+    one = F.array(F.struct(F.lit(None).cast("long").alias("g"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(1).alias("rows")))
+    each = rows.where(known & (F.col("__rows") > 1)).select(key, F.explode(F.concat(one, tagged("__old", True), tagged("__new", False))).alias("x")).select(key, "x.*")
+    each = each.groupBy(key, "g").agg(F.sum("a").alias("a"), F.max("b").alias("b"), F.sum("rows").alias("rows"))
+    many = each.groupBy(key).agg(F.sum("a").alias("grams"), F.sum(F.when(F.col("b") == 0, F.col("a")).otherwise(0)).alias("gone"), F.sum("rows").alias("rows"))
+    many = many.select(key, F.when(F.col("grams") > 0, F.col("grams")).alias("grams"), F.when(F.col("grams") > 0, F.col("gone") / F.col("grams")).alias("changed"), F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("col")
+    return single.unionByName(many)

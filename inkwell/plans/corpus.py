@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkwell.operators import corpus, measure as m, patterns
 from inkwell.plans.base import SQL_BASE, _W, chunks, table
 from inkwell.plans.measure import _prep, _rounded
+from inkwell.sources.tables import heavy
 
 
 def dedup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +92,9 @@ def js_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ngram13_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much each document changes of its 13-word sequences to the document five ids on."""
-    d = chunks(spark, sf_dir).select("chunk_id", "text")
-    pairs = d.select(F.col("chunk_id").alias("pair"), F.col("text").alias("old")).join(d.select((F.col("chunk_id") - 5).alias("pair"), F.col("text").alias("new")), "pair")
+    d, n = chunks(spark, sf_dir).select("chunk_id", "text"), heavy(spark)
+    old, new = d.select(F.col("chunk_id").alias("pair"), F.col("text").alias("old")), d.select((F.col("chunk_id") - 5).alias("pair"), F.col("text").alias("new"))
+    pairs = old.where("pair IS NOT NULL").repartition(n, "pair").join(new.where("pair IS NOT NULL").repartition(n, "pair"), "pair")
     return _rounded(corpus.ngram_changed(pairs))
 
 

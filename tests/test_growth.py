@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import lexicon as lx
 from inkwell.functions.tokens import folded
-from inkwell.operators import measure as m
+from inkwell.operators import corpus, measure as m
 
 _PARTS = (
     "we it the that's this they're isn't aren't was not just only but and or so about a plan maybe perhaps i think i'm sure seems really very NEVER delve delving crucial it's worth noting İstanbul Straße "
@@ -51,3 +51,20 @@ def test_match_spans_of_a_long_text_are_found_in_one_pass(spark):
     prep = m.prepared(spark.createDataFrame([(1, "a, " * n), (2, "b,"), (3, None)], "chunk_id long, text string"))
     got = m.match_spans(prep, metrics=("commas",)).groupBy("chunk_id").agg(F.count("*"), F.max("start"), F.sum(F.col("end") - F.col("start"))).collect()
     assert sorted(map(tuple, got)) == [(1, n, 3 * (n - 1) + 1, n), (2, 1, 1, 1)]
+
+
+def test_changed_sequences_by_row_and_by_definition(spark):
+    """Repeats within a text, empty and short ones, keys that repeat and null keys."""
+    rng = random.Random(3)
+    words = lambda: [rng.choice("abcd") for _ in range(rng.choice((0, 2, 5, 9, 30)))]
+    rows = [(i % 90 if i else None, " ".join(words()), " ".join(words()) if rng.random() < 0.9 else None) for i in range(120)] + [(500, "a b " * 20, "a b " * 4), (501, "a b c " * 9, "x y z"), (502, "a a a a b", "a a a")]
+    got = corpus.ngram_changed(spark.createDataFrame(rows, "pair long, old string, new string"), n=3)
+    grams = lambda t: [tuple(w[i : i + 3]) for w in [(t or "").split()] for i in range(len(w) - 2)]
+    want = []
+    for key, _, _ in rows:
+        a = [g for k, o, _ in rows if k == key for g in grams(o)]
+        b = {g for k, _, w in rows if k == key for g in grams(w)}
+        want.append((key, len(a), sum(g not in b for g in a) / len(a)) if a and key is not None else (key, None, None))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    plan = got.where("pair > 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Generate explode") == 2  # sequences of repeated keys only, and their rows
