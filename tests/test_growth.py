@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from inkwell.functions import lexicon as lx
-from inkwell.functions.tokens import folded
+from inkwell.functions.tokens import SENTENCE_BREAK, folded, sentences
 from inkwell.operators import corpus, measure as m
 
 _PARTS = (
@@ -68,3 +68,33 @@ def test_changed_sequences_by_row_and_by_definition(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
     plan = got.where("pair > 0")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Generate explode") == 2  # sequences of repeated keys only, and their rows
+
+
+def test_sentences_break_where_the_definition_says(spark):
+    texts = ["One. Two! \n\tThree? \"Four.\" Five (six.) Seven e.g. Eight No. 5 vol. 7 Ch. Nine. Dr. Ten.  11 . A", "", *random_texts(1000, 7)]
+    rng = random.Random(8)
+    parts = [". ", "! ", "?", '." ', ".) ", "e.g. ", "No. ", "Ch.", "vol. ", "pp.", "5", "A", "b", "(B", "“C", "'D", " ", "  ", "\n", "\t", "dr. ", "Mr.", "x"]
+    texts += ["".join(rng.choice(parts) for _ in range(40)) for _ in range(1500)]
+    slow = F.filter(F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), SENTENCE_BREAK), lambda s: s.rlike(r"[\p{L}\p{N}_]"))
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", slow.alias("slow"), sentences(F.col("text")).alias("quick")).collect()
+    assert all(r.slow == r.quick for r in rows) and sum(len(r.quick) for r in rows) > 5000
+
+
+def test_voice_lists_are_counted_in_one_pass(spark):
+    texts = ["I'm sure we don't, you'd never; it’s not ours. Nobody isn't. My own, you’re mine", *random_texts(500, 9)]
+    prep = m.prepared(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string"))
+    names = [f"{k}_per_1k" for k in m._VOICE]
+    pooled, apart = (m.wide(prep, ("voice",), ("chunk_id",), few=few).select("chunk_id", *names) for few in (False, True))
+    got = sorted(map(tuple, pooled.collect()))
+    assert got == sorted(map(tuple, apart.collect())) and all(got[0][1:])
+    plan = pooled._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(tok#") == 1 and plan.count("filter(voiced#") == len(names)
+
+
+def test_all_metrics_split_a_text_into_sentences_once(spark):
+    """Paragraph metrics split each paragraph twice more."""
+    prep = m.prepared(spark.createDataFrame([(1, "d", "One. Two.\n\nThree. Four. Five.")], "chunk_id long, document string, text string"))
+    got = m.measured(prep)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("(?i:approx|") == 1
+    r = got.first()
+    assert (r.sentences, r.paragraph_sentences_mean, r.one_sentence_paragraphs_pct) == (5.0, 2.5, 0.0)
