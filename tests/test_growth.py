@@ -98,3 +98,13 @@ def test_all_metrics_split_a_text_into_sentences_once(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("(?i:approx|") == 1
     r = got.first()
     assert (r.sentences, r.paragraph_sentences_mean, r.one_sentence_paragraphs_pct) == (5.0, 2.5, 0.0)
+
+
+def test_token_totals_deal_out_words_of_repeated_keys_only(spark):
+    rows = [(1, "a b a c"), (2, ""), (3, "ü é’s"), (4, None)]
+    prep = lambda given: m.prepared(spark.createDataFrame(given, "chunk_id long, text string"))
+    got = m.token_totals(prep(rows))
+    assert sorted(map(tuple, got.collect())) == [(1, 4, 3, 4), (3, 2, 2, 4)]
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    got = m.token_totals(prep([*rows, (1, "c d"), (None, "x"), (None, "x y"), (5, "z"), (5, "")]))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, 6, 4, 6), (3, 2, 2, 4), (None, 3, 2, 3), (5, 1, 1, 1)], key=repr)
