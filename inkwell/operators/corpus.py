@@ -164,8 +164,10 @@ def every_kth(rows: DataFrame, order: Sequence[str], size: str, budget: int = BU
     """A systematic sample: every k-th row in order, k the least that keeps `size` within a budget. Adds k.
 
     Places are prefix counts in two levels, over range buckets of the order and inside each, so no task orders all rows.
-    The buckets are written out once: their bounds are sampled, and a second evaluation would cut elsewhere.
+    The buckets are written out once: their bounds are sampled, and a second evaluation would cut elsewhere. So are the rows
+    before, which the size, the bounds and the buckets read.
     """
+    rows = materialize(rows)
     k = rows.groupBy(*by).agg(F.greatest(F.lit(1), F.ceil(F.sum(size) / budget)).cast("long").alias("k"))
     ranged = materialize(rows.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()))
     counts = ranged.groupBy(*by, "__p").agg(F.count("*").alias("__c"))

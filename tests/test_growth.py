@@ -108,3 +108,18 @@ def test_token_totals_deal_out_words_of_repeated_keys_only(spark):
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
     got = m.token_totals(prep([*rows, (1, "c d"), (None, "x"), (None, "x y"), (5, "z"), (5, "")]))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, 6, 4, 6), (3, 2, 2, 4), (None, 3, 2, 3), (5, 1, 1, 1)], key=repr)
+
+
+def test_samples_evaluate_their_rows_once(spark):
+    """The budget, the bounds of buckets and the buckets did so each."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(3000).selectExpr("id", "10 AS n").mapInArrow(count, "id long, n int")
+    got = corpus.every_kth(rows, ["id"], "n", budget=1000).collect()
+    assert sorted(r.id for r in got) == list(range(0, 3000, 30)) and {r.k for r in got} == {30}
+    assert seen.value == 3000
