@@ -40,7 +40,7 @@ def pooling_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every k-th sentence of the writers, k to keep about 30000 words."""
-    s = _prep(spark, sf_dir).where("role = 'writer'").select("chunk_id", F.posexplode("lens").alias("pos", "n"))
+    s = m.each(_prep(spark, sf_dir).where("role = 'writer'"), ("chunk_id",), F.posexplode_outer("lens").alias("pos", "n"), "pos")
     return corpus.every_kth(s, ["chunk_id", "pos"], "n").select("chunk_id", F.col("pos").cast("long").alias("pos"), "n", "k")
 
 

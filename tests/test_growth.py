@@ -123,3 +123,12 @@ def test_samples_evaluate_their_rows_once(spark):
     got = corpus.every_kth(rows, ["id"], "n", budget=1000).collect()
     assert sorted(r.id for r in got) == list(range(0, 3000, 30)) and {r.k for r in got} == {30}
     assert seen.value == 3000
+
+
+def test_words_and_sentences_are_cut_once_and_for_the_rows_asked_for(spark, sf_dir):
+    """A filter on their number, inferred from explode, cut those of all documents before the join with labels."""
+    from inkwell.plans.measure import QUERIES, _prep
+
+    writers = m.token_rows(_prep(spark, sf_dir).where("role = 'writer'"))
+    plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (writers, QUERIES["sentence_lengths"](spark, sf_dir), m.trigrams(_prep(spark, sf_dir)))]
+    assert all(p.count("split(coalesce(text#") == 1 for p in plans)
