@@ -2,84 +2,125 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import stats
 from inkwell.operators import evaluate as ev, ranges, reference as ref
-from inkwell.plans.base import SQL_VALUES, SUBSET, as_long, measured
+from inkwell.plans.base import ROLES, SQL_VALUES, SUBSET, as_long, measured
 from inkwell.plans.measure import _rounded
 from inkwell.sources.scratch import materialize
 
 
 class Setup:
-    """What the queries share: values by role, the summary with floors, held-out z of writers, z of the others."""
+    """What the queries share: values by role, the summary with floors, held-out z of writers, z of the others.
+
+    Each is computed when a query asks for it, of the roles that the query reads.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, roles: tuple[str, ...] = ROLES):
+        self.rows, self.roles = materialize(measured(spark, sf_dir, roles)), roles
+        self.words = self.rows.where(F.greatest(*[F.col(m).isNotNull() for m in SUBSET])).select("chunk_id", "role", "words")
+
+    def _values(self, role: str) -> DataFrame:
+        assert role in self.roles, role
+        return as_long(self.rows).where(F.col("role") == role).drop("role", "words")
+
+    @cached_property
+    def writer(self) -> DataFrame:
+        return self._values("writer")
+
+    @cached_property
+    def contrast(self) -> DataFrame:
+        return self._values("contrast")
+
+    @cached_property
+    def drafts(self) -> DataFrame:
+        return self._values("draft")
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return stats.summary(self.writer, ("grp", "metric"))
+
+    @cached_property
+    def floors(self) -> DataFrame:
+        counts = self.rows.where("role = 'writer'").agg(F.avg("words").alias("words"), F.avg("sentences").alias("sentences"), F.avg("paragraphs").alias("paragraphs"))
+        return materialize(ref.floors(self.summary, counts))
+
+    @cached_property
+    def z(self) -> DataFrame:
+        return materialize(ref.held_out_z(self.writer, self.floors))
+
+    @cached_property
+    def rms(self) -> DataFrame:
+        return ref.reliability(self.z)
+
+    @cached_property
+    def contrast_z(self) -> DataFrame:
+        return ref.z_against(self.contrast, self.floors)
+
+    @cached_property
+    def draft_z(self) -> DataFrame:
+        return ref.z_against(self.drafts, self.floors)
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        rows = materialize(measured(spark, sf_dir))
-        values = as_long(rows)
-        self.writer, self.contrast, self.drafts = (values.where(F.col("role") == r).drop("role", "words") for r in ("writer", "contrast", "draft"))
-        self.words = rows.where(F.greatest(*[F.col(m).isNotNull() for m in SUBSET])).select("chunk_id", "role", "words")
-        self.summary = stats.summary(self.writer, ("grp", "metric"))
-        counts = rows.where("role = 'writer'").agg(F.avg("words").alias("words"), F.avg("sentences").alias("sentences"), F.avg("paragraphs").alias("paragraphs"))
-        self.floors = materialize(ref.floors(self.summary, counts))
-        self.z = materialize(ref.held_out_z(self.writer, self.floors))
-        self.rms = ref.reliability(self.z)
-        self.contrast_z = ref.z_against(self.contrast, self.floors)
-        self.draft_z = ref.z_against(self.drafts, self.floors)
 
+def _query(*roles: str, setup: type[Setup] = Setup):
+    """A query over what is shared, which reads chunks of some roles."""
+    def of(fn):
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return _rounded(fn(setup(spark, sf_dir, roles)))
 
-def _query(fn):
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _rounded(fn(Setup(spark, sf_dir)))
+        query.__name__, query.__doc__, query.roles = fn.__name__, fn.__doc__, roles
+        return query
 
-    query.__name__, query.__doc__ = fn.__name__, fn.__doc__
-    return query
+    return of
 
 
-@_query
+@_query("writer")
 def metric_summary(s: Setup) -> DataFrame:
     """n, mean, sd, cv, min and max of each metric over the writers' chunks."""
     return s.summary
 
 
-@_query
+@_query("writer")
 def resolution_floors(s: Setup) -> DataFrame:
     """The smallest meaningful spread of each metric."""
     return s.floors.select("grp", "metric", "floor")
 
 
-@_query
+@_query("writer")
 def held_out_z(s: Setup) -> DataFrame:
     """z of each writer chunk against the chunks of other documents."""
     return s.z
 
 
-@_query
+@_query("writer")
 def reliability_rms(s: Setup) -> DataFrame:
     """Root mean square of held-out z, and the weight that it gives."""
     return s.rms.withColumn("weight", 1.0 / F.pow(F.greatest("rms", F.lit(1.0)), F.lit(2.0)))
 
 
-@_query
+@_query("writer", "contrast")
 def z_against_reference(s: Setup) -> DataFrame:
     """z of contrast chunks against the stored summary."""
     return s.contrast_z
 
 
-@_query
+@_query("writer", "draft")
 def delta_by_area(s: Setup) -> DataFrame:
     """Distance of drafts by area and overall."""
     return ref.delta(s.draft_z, s.rms)
 
 
-@_query
+@_query("writer")
 def held_out_delta(s: Setup) -> DataFrame:
     """Distance of writer chunks, everything learned without their document."""
     return ref.held_out_delta(s.z)
 
 
-@_query
+@_query("writer", "draft")
 def deviations_topk(s: Setup) -> DataFrame:
     """The eight largest differences of each draft."""
     return ref.deviations(s.draft_z)
@@ -89,7 +130,7 @@ def _deltas(s: Setup) -> DataFrame:
     return ref.held_out_delta(s.z).select(F.col("grp").alias("area"), "document", F.col("delta").alias("value")).transform(materialize)
 
 
-@_query
+@_query("writer")
 def icc_effective(s: Setup) -> DataFrame:
     """Intraclass correlation and effective count of held-out distances, by area."""
     return stats.by_document(_deltas(s), ("area",))
@@ -104,19 +145,19 @@ def delta_range_table(deltas: DataFrame) -> DataFrame:
     return g.select("area", stats.upper_mean(g).alias("mean"), stats.similarity().alias("similarity")).join(ranks.drop("bound"), "area").join(middle, "area")
 
 
-@_query
+@_query("writer")
 def delta_range(s: Setup) -> DataFrame:
     """The range that held-out distances of the reference itself fall in, by area."""
     return delta_range_table(_deltas(s))
 
 
-@_query
+@_query("writer", "contrast")
 def contrast_effects(s: Setup) -> DataFrame:
     """What tells contrast from writer chunks, strongest first, and its weight."""
     return ref.fold(s.z, s.contrast_z)
 
 
-@_query
+@_query("writer", "contrast")
 def effects_without(s: Setup) -> DataFrame:
     """Effects learned without each writer document."""
     return ref.fold_without(s.z, s.contrast_z, "reference", every_metric=True)
@@ -128,25 +169,25 @@ def _loo(s: Setup) -> DataFrame:
     return materialize(a.unionByName(b))
 
 
-@_query
+@_query("writer", "contrast")
 def likeness_loo(s: Setup) -> DataFrame:
     """Likeness of writer and contrast chunks, the fold learned without their document."""
     return _loo(s)
 
 
-@_query
+@_query(*ROLES)
 def likeness_signals_topk(s: Setup) -> DataFrame:
     """The five metrics that make most of a draft's likeness to the contrast set."""
     return ref.signals(s.draft_z, ref.fold(s.z, s.contrast_z))
 
 
-@_query
+@_query("writer", "contrast")
 def auc_rank(s: Setup) -> DataFrame:
     """How well cross-validated likeness tells contrast from writer chunks."""
     return stats.auc(_loo(s).select(F.col("likeness").alias("score"), (F.col("side") == "contrast").alias("positive")))
 
 
-@_query
+@_query("writer", "contrast")
 def length_baseline(s: Setup) -> DataFrame:
     """How well the word count alone does, with its direction and medians."""
     w = s.words.where("role IN ('writer', 'contrast')")
@@ -155,20 +196,20 @@ def length_baseline(s: Setup) -> DataFrame:
     return got.crossJoin(medians).select(F.greatest("auc", 1 - F.col("auc")).alias("auc"), F.when(F.col("auc") >= 0.5, "longer").otherwise("shorter").alias("direction"), "writer_median", "contrast_median")
 
 
-@_query
+@_query("writer", "draft")
 def average_z(s: Setup) -> DataFrame:
     """Mean z of each document's drafts, by metric."""
     return ref.average_z(s.draft_z, s.drafts, s.summary)
 
 
-@_query
+@_query("writer")
 def mean_ceilings(s: Setup) -> DataFrame:
     """The bound of a mean over one to ten chunks, by area."""
     rows = delta_range_table(_deltas(s)).withColumn("chunks", F.explode(F.sequence(F.lit(1), F.lit(10))))
     return rows.select("area", "chunks", ranges.mean_ceiling(F.col("mean"), F.col("p95"), F.col("similarity"), F.col("chunks"), ranges.DELTA_FLOOR).alias("ceiling"))
 
 
-@_query
+@_query(*ROLES)
 def fold_scores(s: Setup) -> DataFrame:
     """Likeness of drafts under the fold learned without the contrast texts of their document."""
     return ev.fold_scores(s.z, s.contrast_z, s.draft_z)

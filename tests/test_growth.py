@@ -132,3 +132,12 @@ def test_words_and_sentences_are_cut_once_and_for_the_rows_asked_for(spark, sf_d
     writers = m.token_rows(_prep(spark, sf_dir).where("role = 'writer'"))
     plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (writers, QUERIES["sentence_lengths"](spark, sf_dir), m.trigrams(_prep(spark, sf_dir)))]
     assert all(p.count("split(coalesce(text#") == 1 for p in plans)
+
+
+def test_setup_computes_what_a_query_asks_for(spark, sf_dir):
+    """All roles were measured, and held-out z and drafts' ranges computed, whatever a query reads."""
+    from inkwell.plans.reference import QUERIES, Setup
+
+    s = Setup(spark, sf_dir, QUERIES["mean_ceilings"].roles)
+    assert {r.role for r in s.rows.select("role").distinct().collect()} == {"writer"}
+    assert s.floors.count() == 10 and not {"z", "contrast_z", "draft_z", "drafts"} & set(vars(s))
